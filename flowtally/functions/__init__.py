@@ -4,9 +4,10 @@ from flowtally.functions.columns import (
     AMOUNT_TYPE,
     GRAINS,
     VALUE_BANDS,
-    amount,
+    cents,
     event_day,
     exact_sum,
+    from_cents,
     iso_weekday,
     json_int,
     period_start,
@@ -18,9 +19,10 @@ __all__ = [
     "AMOUNT_TYPE",
     "GRAINS",
     "VALUE_BANDS",
-    "amount",
+    "cents",
     "event_day",
     "exact_sum",
+    "from_cents",
     "iso_weekday",
     "json_int",
     "period_start",

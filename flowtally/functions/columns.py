@@ -1,8 +1,11 @@
 """Column building blocks.
 
-Amounts are summed as DECIMAL so that a total does not depend on the order
-in which partitions are combined (a DOUBLE sum does), and are cast to DOUBLE
-once, at the end.  Calendar buckets go through DATE, which has no time zone.
+Amounts are money with two decimals.  They are summed as whole cents in
+BIGINT: exact, so a total does not depend on the order in which partitions
+are combined (a DOUBLE sum does), and about ten times faster than a DECIMAL
+sum, whose DECIMAL(28,2) buffer Spark cannot keep in a primitive long.  A
+total is converted to DOUBLE once, at the end (cents / 100, correctly
+rounded).  Calendar buckets go through DATE, which has no time zone.
 """
 
 from __future__ import annotations
@@ -10,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Amounts are money-like: at most two decimals.  18 digits leave room for
-# 10^16 per value; Spark widens the SUM to DECIMAL(28,2), so totals over any
-# realistic row count cannot overflow.
+# Exact decimal type of an amount, for results that need DECIMAL.
 AMOUNT_TYPE = "decimal(18,2)"
 
 GRAINS = ("day", "week", "month")
@@ -32,14 +33,25 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def amount(c: str | Column = "value") -> Column:
-    """The value as an exact decimal amount."""
-    return _col(c).cast(AMOUNT_TYPE)
+def cents(c: str | Column = "value", scale: int = 100) -> Column:
+    """The value in whole cents (BIGINT), rounded half away from zero.
+
+    For values with at most two decimals this equals casting to
+    DECIMAL(18,2).  ``scale`` = 100 for cents; other powers of ten give other
+    fixed-point units.
+    """
+    x = _col(c) * F.lit(float(scale))
+    return F.when(x >= 0, F.floor(x + F.lit(0.5))).otherwise(F.ceil(x - F.lit(0.5)))
+
+
+def from_cents(total: str | Column, scale: int = 100) -> Column:
+    """A cents total as DOUBLE (nearest double to total / scale)."""
+    return _col(total).cast("double") / F.lit(float(scale))
 
 
 def exact_sum(c: str | Column = "value") -> Column:
     """Order-independent sum of an amount column, returned as DOUBLE."""
-    return F.sum(amount(c)).cast("double")
+    return from_cents(F.sum(cents(c)))
 
 
 def event_day(ts: str | Column = "ts") -> Column:

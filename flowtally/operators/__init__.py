@@ -11,7 +11,7 @@ from flowtally.operators.aggregates import (
     value_bands,
     weekday_hour_heatmap,
 )
-from flowtally.operators.flows import line_revenue, nation_flows
+from flowtally.operators.flows import line_revenue_units, nation_flows
 from flowtally.operators.quantiles import exact_quantiles
 from flowtally.operators.series import (
     cumulative_activity,
@@ -40,7 +40,7 @@ __all__ = [
     "gap_filled_daily",
     "json_key_counts",
     "kpi_totals",
-    "line_revenue",
+    "line_revenue_units",
     "moving_average",
     "nation_flows",
     "new_and_active_users",

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtally.functions import (
-    amount,
+    cents,
     event_day,
     exact_sum,
+    from_cents,
     iso_weekday,
     json_int,
     period_start,
@@ -60,10 +61,10 @@ def category_share(df: DataFrame, category: str = "event_type", value: str = "va
     gathers the categories into one task.
     """
     per_cat = df.groupBy(category).agg(
-        _count(), F.sum(amount(value)).alias("_vol")
+        _count(), F.sum(cents(value)).alias("_vol")
     )
-    total = per_cat.agg(F.sum("_vol").cast("double")).scalar()
-    volume = F.col("_vol").cast("double")
+    total = per_cat.agg(from_cents(F.sum("_vol"))).scalar()
+    volume = from_cents("_vol")
     return per_cat.select(
         category,
         "n_events",
@@ -154,10 +155,10 @@ def day_category_rollup(
     raw table.
     """
     fine = df.groupBy(event_day(ts).alias("day"), F.col(category).alias(category)).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(amount(value)).alias("_vol")
+        F.count(F.lit(1)).alias("_n"), F.sum(cents(value)).alias("_vol")
     )
     return fine.rollup("day", category).agg(
         F.grouping_id().cast("int").alias("grouping_level"),
         F.sum("_n").alias("n_events"),
-        F.sum("_vol").cast("double").alias("volume"),
+        from_cents(F.sum("_vol")).alias("volume"),
     )

@@ -2,25 +2,31 @@
 
 A line item moves value from the nation of the ordering customer (source)
 to the nation of the supplier (destination).  The join tree follows the
-foreign keys: lineitem -> orders -> customer and lineitem -> supplier, then
-each side's nation key is resolved against ``nation``.
+foreign keys: lineitem -> supplier, orders -> customer, then lineitem ->
+orders; each side's nation key is resolved against ``nation`` at the end,
+on the 625-row result.
 
 Scale notes:
 
-* Line items are pre-aggregated per (order, supplier nation) before they meet
-  ``orders``: lines of one order to one supplier nation collapse into one row
-  inside the scan task, so the big join shuffles fewer rows.
+* The one large join is lineitem with orders on the order key; at scale it
+  is a sort-merge join with both sides shuffled by that key.  The per-order
+  aggregation that follows groups by the order key (plus columns that depend
+  on it), so it reuses the join's partitioning and adds no shuffle.
 * No side is forced into a broadcast.  ``nation`` (25 rows by definition of
-  the schema) and, at small scale, ``supplier`` fall under
-  ``spark.sql.autoBroadcastJoinThreshold``, which checks their size before
-  broadcasting; the rest are shuffle joins, and AQE re-plans from measured
-  sizes and splits skewed join partitions (a customer with a third of all
-  orders is spread over several tasks).
-* After the pre-aggregation a row is one (order, destination) pair and an
+  the schema) and, while small, ``supplier`` and ``customer`` fall under
+  ``spark.sql.autoBroadcastJoinThreshold``, which checks their size first;
+  otherwise they are shuffle joins.  AQE re-plans from measured sizes and
+  splits skewed join partitions (a customer with a third of all orders is
+  spread over several tasks).
+* Revenue is exact: price and discount in cents give each line's revenue as
+  a BIGINT in units of 1/10000, summed per order as BIGINT and per flow as
+  DECIMAL(38,0) (a flow can exceed the BIGINT range at 100 TB).  The DECIMAL
+  sum runs on per-order rows, after the partial aggregation.
+* After the per-order step a row is one (order, destination) pair and an
   order has one source, so distinct orders per flow are a plain row count.
-  Distinct customers are counted by Spark's single-distinct plan, which
-  deduplicates (flow, customer) pairs with a shuffle on the pair before
-  counting, so one flow's customers are never collected in one task.
+  Distinct customers use Spark's single-distinct plan, which deduplicates
+  (flow, customer) pairs with a shuffle on the pair before counting, so one
+  flow's customers are never collected in one task.
 """
 
 from __future__ import annotations
@@ -28,14 +34,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.functions import AMOUNT_TYPE
+from flowtally.functions import cents
 
+REVENUE_SCALE = 10_000
 
-def line_revenue() -> F.Column:
-    """``l_extendedprice * (1 - l_discount)`` in exact decimal arithmetic."""
-    price = F.col("l_extendedprice").cast(AMOUNT_TYPE)
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    return price * (F.lit(1) - discount)
+
+def line_revenue_units() -> F.Column:
+    """``l_extendedprice * (1 - l_discount)`` in 1/10000 units, exact for
+    prices and discounts with two decimals."""
+    return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
 
 
 def nation_flows(
@@ -47,27 +54,32 @@ def nation_flows(
 ) -> DataFrame:
     """Per (source nation, destination nation): line items, distinct orders,
     distinct customers and exact revenue."""
-    supp_nation = supplier.select("s_suppkey", F.col("s_nationkey").alias("dst_key"))
-    per_order = (
-        lineitem.join(supp_nation, lineitem.l_suppkey == supp_nation.s_suppkey)
-        .groupBy("l_orderkey", "dst_key")
-        .agg(F.count(F.lit(1)).alias("_lines"), F.sum(line_revenue()).alias("_rev"))
+    supp = supplier.select("s_suppkey", F.col("s_nationkey").alias("dst_key"))
+    lines = lineitem.join(supp, lineitem.l_suppkey == supp.s_suppkey).select(
+        "l_orderkey", "dst_key", line_revenue_units().alias("_units")
     )
-    cust_nation = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
-        "o_orderkey", "o_custkey", F.col("c_nationkey").alias("src_key")
+    cust = customer.select("c_custkey", F.col("c_nationkey").alias("src_key"))
+    order_src = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        "o_orderkey", "o_custkey", "src_key"
+    )
+    per_order = (
+        lines.join(order_src, lines.l_orderkey == order_src.o_orderkey)
+        .groupBy("l_orderkey", "src_key", "dst_key", "o_custkey")
+        .agg(F.count(F.lit(1)).alias("_lines"), F.sum("_units").alias("_units"))
     )
-    flows = (
-        per_order.join(cust_nation, per_order.l_orderkey == cust_nation.o_orderkey)
-        .groupBy("src_key", "dst_key")
-        .agg(
-            F.sum("_lines").alias("n_lines"),
-            F.count(F.lit(1)).alias("n_orders"),
-            F.countDistinct("o_custkey").alias("n_customers"),
-            F.sum("_rev").cast("double").alias("revenue"),
-        )
+    flows = per_order.groupBy("src_key", "dst_key").agg(
+        F.sum("_lines").alias("n_lines"),
+        F.count(F.lit(1)).alias("n_orders"),
+        F.countDistinct("o_custkey").alias("n_customers"),
+        F.sum(F.col("_units").cast("decimal(38,0)")).alias("_rev"),
     )
     src = nation.select(F.col("n_nationkey").alias("src_key"), F.col("n_name").alias("src_nation"))
     dst = nation.select(F.col("n_nationkey").alias("dst_key"), F.col("n_name").alias("dst_nation"))
     return flows.join(src, "src_key").join(dst, "dst_key").select(
-        "src_nation", "dst_nation", "n_lines", "n_orders", "n_customers", "revenue"
+        "src_nation",
+        "dst_nation",
+        "n_lines",
+        "n_orders",
+        "n_customers",
+        (F.col("_rev") / F.lit(REVENUE_SCALE)).cast("double").alias("revenue"),
     )

@@ -7,7 +7,7 @@ of the distinct values) must fit one executor's memory.  Here the k-th
 smallest value of a group is found by radix selection over the value's
 integer key instead:
 
-* values are amounts with two decimals, so ``key = value * 100 + 2^62`` is a
+* values are amounts with two decimals, so ``key = cents + 2^62`` is a
   non-negative 63-bit integer with the same order;
 * four passes each read a 16-bit digit of the key: count rows per
   (group, target rank, digit) among the rows whose higher digits were already
@@ -15,10 +15,11 @@ integer key instead:
   whose running count covers the target rank;
 * after the fourth pass the key, hence the value, is known exactly.
 
-Every pass is a partially aggregated hash aggregation plus a join with the
-(tiny) table of targets, and every window partition has at most 2^16 rows,
-whatever the size or skew of the data.  The (group, key) counts are computed
-once and their shuffle is reused by all four passes.
+Every pass is a join of the (group, key) counts with the small table of open
+targets followed by a partially aggregated hash aggregation, and every window
+partition has at most 2^16 rows (one per digit), whatever the size or skew
+of the data.  The (group, key) counts are computed once and their shuffle is
+reused by all four passes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtally.functions import amount
+from flowtally.functions import cents
 
 _DIGIT_BITS = 16
 _SHIFTS = (48, 32, 16, 0)
@@ -53,7 +54,7 @@ def exact_quantiles(
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
 
-    key = ((amount(value) * F.lit(100)).cast("long") + F.lit(_OFFSET)).alias("key")
+    key = (cents(value) + F.lit(_OFFSET)).alias("key")
     counts = (
         df.where(F.col(value).isNotNull())
         # The group travels as a one-field struct: a struct is never null, so
@@ -63,66 +64,80 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("c"))
     )
 
-    # Target ranks: position h = (n - 1) * p, exact in DECIMAL; the result is
-    # v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
-    sizes = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    # One target per (group, probability, side): position h = (n - 1) * p in
+    # exact DECIMAL, side 0 wants rank floor(h), side 1 rank ceil(h); the
+    # result is v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
     prob_arr = F.array(*[F.lit(Decimal(str(p))).cast("decimal(9,8)") for p in probs])
-    wanted = (
-        sizes.select("g", "n", F.posexplode(prob_arr).alias("pi", "p"))
-        .withColumn("h", (F.col("n") - 1).cast("decimal(20,0)") * F.col("p"))
-        .withColumn("lo", F.floor("h").cast("long"))
-        .withColumn("hi", F.ceil("h").cast("long"))
-    )
+    h = (F.col("n") - 1).cast("decimal(20,0)") * F.col("p")
     targets = (
-        wanted.select("g", F.explode(F.array("lo", "hi")).alias("r"))
-        .distinct()
-        .select("g", "r", F.lit(0).cast("long").alias("prefix"), F.col("r").alias("rem"))
+        counts.groupBy("g")
+        .agg(F.sum("c").alias("n"))
+        .select("g", "n", F.posexplode(prob_arr).alias("pi", "p"))
+        .select(
+            "g",
+            "pi",
+            (h - F.floor(h)).alias("frac"),
+            F.explode(
+                F.array(
+                    F.struct(F.lit(0).alias("side"), F.floor(h).cast("long").alias("rem")),
+                    F.struct(F.lit(1).alias("side"), F.ceil(h).cast("long").alias("rem")),
+                )
+            ).alias("t"),
+            "n",
+        )
+        .select("g", F.lit(0).cast("long").alias("prefix"), "n", "pi", "frac", "t.side", "t.rem")
     )
 
     for i, shift in enumerate(_SHIFTS):
-        digit = F.shiftright("key", shift).bitwiseAND(F.lit(_MASK))
-        if i == 0:
-            cand = counts.select("g", F.lit(0).cast("long").alias("prefix"), digit.alias("d"), "c")
-        else:
-            prefix = F.shiftright("key", shift + _DIGIT_BITS)
-            open_prefixes = targets.select("g", "prefix").distinct()
-            cand = counts.select("g", prefix.alias("prefix"), digit.alias("d"), "c").join(
-                open_prefixes, ["g", "prefix"], "left_semi"
-            )
-        hist = cand.groupBy("g", "prefix", "d").agg(F.sum("c").alias("cnt"))
-        running = Window.partitionBy("g", "r").orderBy("d").rowsBetween(
+        digit = F.shiftright("key", shift).bitwiseAND(F.lit(_MASK)).alias("d")
+        prefix = (F.lit(0).cast("long") if i == 0 else F.shiftright("key", shift + _DIGIT_BITS)).alias("prefix")
+        # Targets still open under each (group, prefix), as one short array
+        # (at most 2 * len(probs) entries); the table is referenced once per
+        # pass, so the plan grows linearly with the number of passes.
+        open_targets = targets.groupBy("g", "prefix").agg(
+            F.collect_list(F.struct("n", "pi", "frac", "side", "rem")).alias("ts")
+        )
+        hist = (
+            counts.select("g", prefix, digit, "c")
+            .join(open_targets, ["g", "prefix"])
+            .groupBy("g", "prefix", "ts", "d")
+            .agg(F.sum("c").alias("cnt"))
+        )
+        running = Window.partitionBy("g", "t.pi", "t.side").orderBy("d").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         targets = (
-            hist.join(targets, ["g", "prefix"])
+            hist.select("g", "prefix", "d", "cnt", F.explode("ts").alias("t"))
             .withColumn("upto", F.sum("cnt").over(running))
-            .where((F.col("upto") - F.col("cnt") <= F.col("rem")) & (F.col("rem") < F.col("upto")))
+            .where((F.col("upto") - F.col("cnt") <= F.col("t.rem")) & (F.col("t.rem") < F.col("upto")))
             .select(
                 "g",
-                "r",
-                (F.shiftleft("prefix", _DIGIT_BITS).bitwiseOR(F.col("d"))).alias("prefix"),
-                (F.col("rem") - (F.col("upto") - F.col("cnt"))).alias("rem"),
+                F.shiftleft("prefix", _DIGIT_BITS).bitwiseOR(F.col("d")).alias("prefix"),
+                "t.n",
+                "t.pi",
+                "t.frac",
+                "t.side",
+                (F.col("t.rem") - (F.col("upto") - F.col("cnt"))).alias("rem"),
             )
         )
 
-    at_rank = targets.select(
-        "g",
-        "r",
-        ((F.col("prefix") - F.lit(_OFFSET)).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)").alias("v"),
-    )
-    lo_v = at_rank.select("g", F.col("r").alias("lo"), F.col("v").alias("v_lo"))
-    hi_v = at_rank.select("g", F.col("r").alias("hi"), F.col("v").alias("v_hi"))
-    interp = (
-        wanted.join(lo_v, ["g", "lo"])
-        .join(hi_v, ["g", "hi"])
-        .select(
-            "g",
-            "n",
-            "pi",
-            (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).cast("double").alias("q"),
-        )
-    )
-    return interp.groupBy(F.col("g.k").alias(group)).agg(
+    # After the last pass the prefix is the whole key of the wanted value.
+    v = ((F.col("prefix") - F.lit(_OFFSET)).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
+    per_group = targets.groupBy(F.col("g.k").alias(group)).agg(
         F.max("n").alias("n_values"),
-        *[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(_prob_label(p)) for i, p in enumerate(probs)],
+        *[
+            F.max(F.when((F.col("pi") == i) & (F.col("side") == side), col)).alias(f"_{name}{i}")
+            for i in range(len(probs))
+            for side, col, name in ((0, v, "lo"), (1, v, "hi"), (0, F.col("frac"), "fr"))
+        ],
+    )
+    return per_group.select(
+        group,
+        "n_values",
+        *[
+            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))
+            .cast("double")
+            .alias(_prob_label(p))
+            for i, p in enumerate(probs)
+        ],
     )

@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtally.functions import amount, event_day
+from flowtally.functions import cents, event_day, from_cents
 
 
 def _daily_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
-    """day, n_events, _vol (DECIMAL) for days with at least one event; rows
+    """day, n_events, _vol (cents) for days with at least one event; rows
     without a timestamp belong to no day and are left out."""
     return df.where(F.col(ts).isNotNull()).groupBy(event_day(ts).alias("day")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(amount(value)).alias("_vol")
+        F.count(F.lit(1)).alias("n_events"), F.sum(cents(value)).alias("_vol")
     )
 
 
@@ -42,7 +42,7 @@ def _filled_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
         .select(
             "day",
             F.coalesce("n_events", F.lit(0)).alias("n_events"),
-            F.coalesce("_vol", F.lit(0).cast("decimal(1,0)")).alias("_vol"),
+            F.coalesce("_vol", F.lit(0).cast("long")).alias("_vol"),
         )
     )
 
@@ -50,7 +50,7 @@ def _filled_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
 def daily_activity(df: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
     """day, n_events, volume for the days with activity."""
     return _daily_exact(df, ts, value).select(
-        "day", "n_events", F.col("_vol").cast("double").alias("volume")
+        "day", "n_events", from_cents("_vol").alias("volume")
     )
 
 
@@ -58,7 +58,7 @@ def gap_filled_daily(df: DataFrame, ts: str = "ts", value: str = "value") -> Dat
     """day, n_events, volume for every day from the first to the last active
     day; days without events have zeros."""
     return _filled_exact(df, ts, value).select(
-        "day", "n_events", F.col("_vol").cast("double").alias("volume")
+        "day", "n_events", from_cents("_vol").alias("volume")
     )
 
 
@@ -69,7 +69,7 @@ def cumulative_activity(df: DataFrame, ts: str = "ts", value: str = "value") ->
         "day",
         "n_events",
         F.sum("n_events").over(upto).alias("cum_events"),
-        F.sum("_vol").over(upto).cast("double").alias("cum_volume"),
+        from_cents(F.sum("_vol").over(upto)).alias("cum_volume"),
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtally.functions import amount, event_day, period_start
+from flowtally.functions import cents, from_cents, period_start
 
 
 def _actor_periods(df: DataFrame, user: str, ts: str, grain: str, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def weekly_retention(df: DataFrame, user: str = "user_id", ts: str = "ts") -> Da
 
 def _actor_totals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_events"), F.sum(amount(value)).alias("_vol")
+        F.count(F.lit(1)).alias("n_events"), F.sum(cents(value)).alias("_vol")
     )
 
 
@@ -88,7 +88,7 @@ def top_users(df: DataFrame, k: int = 10, user: str = "user_id", value: str = "v
     )
     rank = F.row_number().over(Window.orderBy(F.col("_vol").desc_nulls_last(), F.col(user).asc()))
     return top.select(
-        rank.cast("int").alias("rank"), user, "n_events", F.col("_vol").cast("double").alias("volume")
+        rank.cast("int").alias("rank"), user, "n_events", from_cents("_vol").alias("volume")
     )
 
 
@@ -115,6 +115,6 @@ def top_users_per_category(
             F.col("rank").cast("int").alias("rank"),
             user,
             "n_events",
-            F.col("_vol").cast("double").alias("volume"),
+            from_cents("_vol").alias("volume"),
         )
     )

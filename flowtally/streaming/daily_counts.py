@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.functions import amount
+from flowtally.functions import cents, from_cents
 from flowtally.session import unique_dir
 
 
@@ -36,12 +36,12 @@ def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFram
         .withWatermark("event_time", watermark)
         .dropDuplicatesWithinWatermark(["event_id"])
         .groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n_events"), F.sum(amount("value")).alias("_vol"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.sum(cents("value")).alias("_vol"))
         .select(
             F.col("w.start").cast("date").alias("day"),
             "event_type",
             "n_events",
-            F.col("_vol").cast("double").alias("volume"),
+            from_cents("_vol").alias("volume"),
         )
     )
 
