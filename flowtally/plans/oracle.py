@@ -159,7 +159,7 @@ SELECT CAST(isodow(ts) AS INTEGER) AS iso_weekday, CAST(hour(ts) AS INTEGER) AS
        count(*) AS n_events, {VOL} AS volume
 FROM events GROUP BY 1, 2""",
     "json_key_counts": f"""
-SELECT TRY_CAST(json_extract_string(props, '$.{JSON_KEY}') AS INTEGER) AS key_value,
+SELECT TRY_CAST(CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{JSON_KEY}') END AS INTEGER) AS key_value,
        count(*) AS n_events, {VOL} AS volume
 FROM events GROUP BY 1""",
     "weekly_retention": f"""

@@ -5,9 +5,11 @@ micro-batch updates the per-(day, category) state.
 
 * ``ts`` is TIMESTAMP_NTZ; the watermark needs TIMESTAMP, so ``event_time``
   is ``ts`` read as UTC (the session zone must be UTC, which is checked).
-* Rows more than ``watermark`` older than the latest event time seen in an
-  earlier micro-batch are late: they are dropped, and the state of days that
-  can no longer change is removed, so state stays bounded by the watermark.
+* The watermark is the latest event time seen so far minus ``watermark``.
+  A row is late, and dropped, when its day ended before the watermark that
+  was in force in the previous micro-batch (Spark's rule for late rows with
+  stateful operators); newer rows are always counted.  Days that can no
+  longer change leave the state store, so state stays bounded.
 * A repeated ``event_id`` inside the watermark is counted once
   (``dropDuplicatesWithinWatermark``).
 * Output mode is update: every micro-batch emits the (day, category) rows it

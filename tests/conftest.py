@@ -1,0 +1,39 @@
+from __future__ import annotations
+
+import os
+import sys
+import tempfile
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+
+SF0001 = "/root/testdata/sf0.001"
+SF001 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from flowtally.session import build_session
+
+    ckpt = tempfile.mkdtemp(prefix="flowtally-test-ckpt-")
+    session = build_session(
+        master="local[*]",
+        app_name="flowtally-tests",
+        shuffle_partitions=8,
+        extra_conf={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"},
+    )
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def fixture_dir():
+    """Hand-made ``events`` table (see tests/fixtures.py) written as Parquet."""
+    from tests.fixtures import write_events
+
+    d = tempfile.mkdtemp(prefix="flowtally-fixture-")
+    write_events(os.path.join(d, "events.parquet"))
+    return d
