@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions import (
@@ -55,16 +55,15 @@ def activity_by_period(df: DataFrame, grain: str = "day", ts: str = "ts", value:
 def category_share(df: DataFrame, category: str = "event_type", value: str = "value") -> DataFrame:
     """Volume per category and its percent of the total volume.
 
-    The total is a scalar subquery over the per-category result: it is
-    computed once from the already aggregated rows (Spark reuses the
-    aggregation's shuffle) and applied as a constant, so no window or join
-    gathers the categories into one task.
+    The total is a window sum over the per-category rows: the events are
+    scanned and aggregated once, and the window's single partition holds one
+    row per category (a dimension), never the events.  A scalar subquery
+    would read the table a second time, because column pruning makes its
+    aggregate differ from the main one and the shuffle is not reused.
     """
-    per_cat = df.groupBy(category).agg(
-        _count(), F.sum(cents(value)).alias("_vol")
-    )
-    total = per_cat.agg(from_cents(F.sum("_vol"))).scalar()
+    per_cat = df.groupBy(category).agg(_count(), F.sum(cents(value)).alias("_vol"))
     volume = from_cents("_vol")
+    total = from_cents(F.sum("_vol").over(Window.partitionBy()))
     return per_cat.select(
         category,
         "n_events",

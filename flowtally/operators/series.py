@@ -5,7 +5,7 @@ distributed, partially aggregated hash aggregation).  The ordered window
 functions then run on that daily result, whose size is the number of
 calendar days in the data (a few thousand rows for a decade), not the number
 of events; that is why their un-partitioned windows are acceptable here and
-would not be on raw rows.
+would not be on raw rows.  Every operator scans the events once.
 """
 
 from __future__ import annotations
@@ -24,25 +24,24 @@ def _daily_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
     )
 
 
-def _calendar(daily: DataFrame) -> DataFrame:
-    """Every date from the first to the last day of ``daily``.
+def _filled_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
+    """Daily rows from the first to the last active day, idle days as zeros.
 
-    The bounds are one aggregated row and the dates are generated from them
-    lazily: no value is collected to the driver.
+    Each active day is followed by the idle days up to the next active day
+    (``lead``), so the calendar comes from the daily rows themselves: the
+    events are scanned and aggregated once, with no second branch for the
+    date bounds.
     """
-    bounds = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    return bounds.select(F.explode(F.sequence("lo", "hi")).alias("day"))
-
-
-def _filled_exact(df: DataFrame, ts: str, value: str) -> DataFrame:
-    daily = _daily_exact(df, ts, value)
+    next_day = F.lead("day").over(Window.orderBy("day"))
+    last = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("day"))
     return (
-        _calendar(daily)
-        .join(daily, "day", "left")
+        _daily_exact(df, ts, value)
+        .withColumn("_next", next_day)
+        .select(F.explode(F.sequence("day", last)).alias("_d"), "day", "n_events", "_vol")
         .select(
-            "day",
-            F.coalesce("n_events", F.lit(0)).alias("n_events"),
-            F.coalesce("_vol", F.lit(0).cast("long")).alias("_vol"),
+            F.col("_d").alias("day"),
+            F.when(F.col("_d") == F.col("day"), F.col("n_events")).otherwise(F.lit(0)).alias("n_events"),
+            F.when(F.col("_d") == F.col("day"), F.col("_vol")).otherwise(F.lit(0).cast("long")).alias("_vol"),
         )
     )
 

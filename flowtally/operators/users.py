@@ -25,20 +25,21 @@ def _actor_periods(df: DataFrame, user: str, ts: str, grain: str, name: str) ->
 
 def new_and_active_users(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Per active day: distinct active actors, actors seen for the first time,
-    and returning actors (active minus first-time)."""
-    pairs = _actor_periods(df, user, ts, "day", "day")
-    active = pairs.groupBy("day").agg(F.count(F.lit(1)).alias("active_users"))
-    first = (
-        pairs.groupBy(user)
-        .agg(F.min("day").alias("day"))
+    and returning actors (active minus first-time).
+
+    An actor's first day is a window minimum over that actor's distinct days,
+    a partition bounded by the calendar, so the events are scanned once.
+    """
+    first_day = F.min("day").over(Window.partitionBy(user))
+    return (
+        _actor_periods(df, user, ts, "day", "day")
+        .withColumn("_first", first_day)
         .groupBy("day")
-        .agg(F.count(F.lit(1)).alias("first_time_users"))
-    )
-    return active.join(first, "day", "left").select(
-        "day",
-        "active_users",
-        F.coalesce("first_time_users", F.lit(0)).alias("first_time_users"),
-        (F.col("active_users") - F.coalesce("first_time_users", F.lit(0))).alias("returning_users"),
+        .agg(
+            F.count(F.lit(1)).alias("active_users"),
+            F.count(F.when(F.col("day") == F.col("_first"), F.lit(1))).alias("first_time_users"),
+        )
+        .withColumn("returning_users", F.col("active_users") - F.col("first_time_users"))
     )
 
 
@@ -46,13 +47,14 @@ def weekly_retention(df: DataFrame, user: str = "user_id", ts: str = "ts") -> Da
     """Cohort table: actors first seen in ``cohort_week`` who are active
     ``week_offset`` weeks later, the cohort's size and the percentage.
 
-    The cohort size is taken over a window partitioned by cohort, whose rows
-    are the cohort's week offsets, so no partition grows with the actors.
+    The cohort of an actor is a window minimum over the actor's distinct
+    weeks; the cohort size is a window over the cohort's week offsets.  Both
+    partitions are bounded by the calendar, and the events are scanned once.
     """
-    pairs = _actor_periods(df, user, ts, "week", "week")
-    cohorts = pairs.groupBy(user).agg(F.min("week").alias("cohort_week"))
+    cohort = F.min("week").over(Window.partitionBy(user))
     counts = (
-        pairs.join(cohorts, user)
+        _actor_periods(df, user, ts, "week", "week")
+        .withColumn("cohort_week", cohort)
         .select(
             "cohort_week",
             (F.datediff("week", "cohort_week") / F.lit(7)).cast("int").alias("week_offset"),
