@@ -54,7 +54,12 @@ def exact_quantiles(
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
 
-    key = (cents(value) + F.lit(_OFFSET)).alias("key")
+    # ``key`` is declared non-null (values are filtered to non-null first):
+    # otherwise each pass's join would add an inferred IsNotNull filter that
+    # Catalyst pushes below the counts aggregation, the four copies of
+    # ``counts`` would differ, and the table would be scanned four times
+    # instead of sharing one shuffle.
+    key = F.coalesce(cents(value) + F.lit(_OFFSET), F.lit(0).cast("long")).alias("key")
     counts = (
         df.where(F.col(value).isNotNull())
         # The group travels as a one-field struct: a struct is never null, so
