@@ -8,10 +8,13 @@ on the 625-row result.
 
 Scale notes:
 
-* The one large join is lineitem with orders on the order key; at scale it
-  is a sort-merge join with both sides shuffled by that key.  The per-order
-  aggregation that follows groups by the order key (plus columns that depend
-  on it), so it reuses the join's partitioning and adds no shuffle.
+* Line items have two large foreign-key parents.  When ``supplier`` is too
+  big to broadcast, the line items are shuffled twice (by supplier key, then
+  by order key); only tables bucketed on those keys avoid that.  Each line
+  is reduced to (order key, supplier key, revenue units) before the first
+  shuffle.  The per-order aggregation after the join with orders groups by
+  the order key (plus columns that depend on it), so it reuses the join's
+  partitioning and adds no shuffle.
 * No side is forced into a broadcast.  ``nation`` (25 rows by definition of
   the schema) and, while small, ``supplier`` and ``customer`` fall under
   ``spark.sql.autoBroadcastJoinThreshold``, which checks their size first;
@@ -55,9 +58,10 @@ def nation_flows(
     """Per (source nation, destination nation): line items, distinct orders,
     distinct customers and exact revenue."""
     supp = supplier.select("s_suppkey", F.col("s_nationkey").alias("dst_key"))
-    lines = lineitem.join(supp, lineitem.l_suppkey == supp.s_suppkey).select(
-        "l_orderkey", "dst_key", line_revenue_units().alias("_units")
-    )
+    # Revenue units are computed before the first join, so a shuffled line
+    # carries three longs instead of two keys and two doubles.
+    items = lineitem.select("l_orderkey", "l_suppkey", line_revenue_units().alias("_units"))
+    lines = items.join(supp, items.l_suppkey == supp.s_suppkey).select("l_orderkey", "dst_key", "_units")
     cust = customer.select("c_custkey", F.col("c_nationkey").alias("src_key"))
     order_src = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_custkey", "src_key"
