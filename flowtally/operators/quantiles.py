@@ -98,9 +98,11 @@ def exact_quantiles(
         prefix = (F.lit(0).cast("long") if i == 0 else F.shiftright("key", shift + _DIGIT_BITS)).alias("prefix")
         # Targets still open under each (group, prefix), as one short array
         # (at most 2 * len(probs) entries); the table is referenced once per
-        # pass, so the plan grows linearly with the number of passes.
+        # pass, so the plan grows linearly with the number of passes.  The
+        # array is sorted: it is part of a grouping key below, and a
+        # recomputed task (lost executor) must rebuild the same key.
         open_targets = targets.groupBy("g", "prefix").agg(
-            F.collect_list(F.struct("n", "pi", "frac", "side", "rem")).alias("ts")
+            F.array_sort(F.collect_list(F.struct("pi", "side", "n", "frac", "rem"))).alias("ts")
         )
         hist = (
             counts.select("g", prefix, digit, "c")
