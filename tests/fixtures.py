@@ -61,3 +61,54 @@ def write_events(path: str, rows: list[tuple] | None = None) -> None:
     cols = list(zip(*rows))
     table = pa.table({f.name: pa.array(c, type=f.type) for f, c in zip(EVENTS_SCHEMA, cols)})
     pq.write_table(table, path)
+
+
+def skewed_event_rows(n: int = 3000, seed: int = 11) -> list[tuple]:
+    """Events where actor 7 and category "purchase" each hold about a third
+    of the rows, spread over 60 days with some idle days."""
+    import random
+
+    rnd = random.Random(seed)
+    types = ["click", "view", "signup", "error"]
+    rows = []
+    for i in range(n):
+        hot = rnd.random() < 0.34
+        user = 7 if hot else rnd.randrange(1, 400)
+        etype = "purchase" if rnd.random() < 0.34 else rnd.choice(types)
+        day = rnd.randrange(0, 60)
+        if day % 9 == 4:  # idle days
+            day += 1
+        ts = dt.datetime(2024, 3, 1) + dt.timedelta(days=day, seconds=rnd.randrange(0, 86400))
+        value = round(rnd.choice([rnd.uniform(0, 20), rnd.uniform(0, 5000)]), 2)
+        rows.append((i, ts, user, etype, value, f'{{"k": {rnd.randrange(0, 12)}}}'))
+    return rows
+
+
+def write_skewed_flow_tables(folder: str, seed: int = 5) -> None:
+    """TPC-H-shaped tables where customer 1 places a third of the orders and
+    supplier 2 ships a third of the line items."""
+    import os
+    import random
+
+    rnd = random.Random(seed)
+
+    def write(name, schema, rows):
+        cols = list(zip(*rows))
+        table = pa.table({f.name: pa.array(c, type=f.type) for f, c in zip(schema, cols)})
+        pq.write_table(table, os.path.join(folder, f"{name}.parquet"))
+
+    write("nation", pa.schema([("n_nationkey", pa.int32()), ("n_name", pa.string()), ("n_regionkey", pa.int32())]),
+          [(k, f"N{k}", k % 5) for k in range(25)])
+    write("customer", pa.schema([("c_custkey", pa.int64()), ("c_nationkey", pa.int32())]),
+          [(c, rnd.randrange(25)) for c in range(1, 41)])
+    write("supplier", pa.schema([("s_suppkey", pa.int64()), ("s_nationkey", pa.int32())]),
+          [(s, rnd.randrange(25)) for s in range(1, 11)])
+    orders = [(o, 1 if rnd.random() < 0.34 else rnd.randrange(1, 41)) for o in range(1, 601)]
+    write("orders", pa.schema([("o_orderkey", pa.int64()), ("o_custkey", pa.int64())]), orders)
+    lines = []
+    for o, _ in orders:
+        for _ in range(rnd.randrange(1, 6)):
+            supp = 2 if rnd.random() < 0.34 else rnd.randrange(1, 11)
+            lines.append((o, supp, round(rnd.uniform(1, 90000), 2), rnd.randrange(0, 11) / 100))
+    write("lineitem", pa.schema([("l_orderkey", pa.int64()), ("l_suppkey", pa.int64()),
+                                 ("l_extendedprice", pa.float64()), ("l_discount", pa.float64())]), lines)
