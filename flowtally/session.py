@@ -25,7 +25,10 @@ CORE_CONF = {
 # Suggested settings for a large cluster (100 TB, ~1000 executors).  Shuffle
 # partitions start high and AQE coalesces them towards the advisory size, so
 # a stage's tasks stay near 256 MB whatever its input; skewed join partitions
-# above 5x the median (and 1 GB) are split.  Broadcasts stay behind Spark's
+# above 5x the median (and 1 GB) are split, even where the split costs a
+# shuffle of the (partially aggregated) join output: a join followed by an
+# aggregation on the join key, as in ``nation_flows``, would otherwise keep
+# its hot partition in one task.  Broadcasts stay behind Spark's
 # size check (64 MB of estimated plan size, and measured shuffle size under
 # AQE); larger sides use sort-merge joins.
 CLUSTER_CONF = {
@@ -35,6 +38,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",

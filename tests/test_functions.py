@@ -66,3 +66,14 @@ def test_write_result_replaces_only_written_partitions(spark):
     assert got == [("2024-01", 1), ("2024-02", 20)]
     assert os.path.isdir(os.path.join(out, "month=2024-01"))
 
+
+
+def test_publish_writes_every_requested_table(spark):
+    from flowtally.plans.publish import publish
+    from tests.conftest import SF0001
+
+    out = unique_dir(spark, "test-publish")
+    paths = publish(spark, SF0001, out, ["kpi_totals", "nation_flows"])
+    assert [p.rsplit("/", 1)[-1] for p in paths] == ["kpi_totals", "nation_flows"]
+    assert spark.read.parquet(paths[0]).count() == 1
+    assert spark.read.parquet(paths[1]).count() > 0
