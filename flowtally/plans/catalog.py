@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowtally import operators as ops
 from flowtally.sources import load_table, load_tables
+from flowtally.sources.tables import table_path
 
 # Dashboard settings shared with the oracle SQL.
 PIVOT_CATEGORIES = ("click", "error", "purchase", "signup", "view")
@@ -47,7 +48,7 @@ def nation_flows(spark: SparkSession, d: str) -> DataFrame:
 def streaming_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     from flowtally.streaming import run_daily_counts
 
-    return run_daily_counts(spark, f"{d}/events.parquet")
+    return run_daily_counts(spark, table_path(d, "events"))
 
 
 QUERIES: dict[str, Query] = {

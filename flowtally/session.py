@@ -73,7 +73,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     the loss of the executor that wrote it.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if base and not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)  # DataFrame.checkpoint() writes here
+    base = base or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError(

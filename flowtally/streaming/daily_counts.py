@@ -13,11 +13,16 @@ micro-batch updates the per-(day, category) state.
 * A repeated ``event_id`` inside the watermark is counted once
   (``dropDuplicatesWithinWatermark``).
 * Output mode is update: every micro-batch emits the (day, category) rows it
-  changed.  ``foreachBatch`` writes them to ``<out>/batch_id=<n>/`` with
-  overwrite, so a retried batch replaces its own files and never duplicates
-  rows; the current table is, per key, the row of the highest batch id.
-  Progress and state live in the checkpoint folder, so a restarted query
-  (after a lost driver or executors) resumes where it stopped.
+  changed.  ``foreachBatch`` merges them into the result table, which is
+  partitioned by day and holds one row per (day, category): the rows of the
+  days the batch touched are read back (partition pruning keeps the read to
+  those days), the newest row per key wins (by batch id), the merged rows are
+  checkpointed to the shared checkpoint folder, and only those day
+  partitions are replaced (dynamic partition overwrite).  A retried batch
+  produces the same rows again, so retries never duplicate; the table does
+  not grow with the number of batches, and readers need no deduplication.
+  Progress and state live in the stream's checkpoint folder, so a restarted
+  query (after a lost driver or executors) resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtally.functions import cents, from_cents
-from flowtally.session import unique_dir
+from flowtally.session import shared_dir, unique_dir
 
 
 def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -48,27 +53,53 @@ def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFram
     )
 
 
-def _batch_writer(out_dir: str):
+_RESULT_SCHEMA = "day date, event_type string, n_events bigint, volume double, batch_id bigint"
+
+
+def _read_result(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(out_dir)
+    except AnalysisException:  # no micro-batch has written yet
+        return None
+
+
+def _merge_writer(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        updates = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        existing = _read_result(spark, out_dir)
+        if existing is not None:
+            touched = updates.select("day").distinct()
+            prior = existing.join(touched, "day", "left_semi").select(*updates.columns)
+            updates = prior.unionByName(updates)
+        newest = F.max_by(F.struct("n_events", "volume", "batch_id"), "batch_id")
+        merged = (
+            # one task per day: the aggregation below keeps this partitioning
+            # and each day partition is written as one file
+            updates.repartition("day")
+            .groupBy("day", "event_type")
+            .agg(newest.alias("r"))
+            .select("day", "event_type", "r.n_events", "r.volume", "r.batch_id")
+            # Written to the shared checkpoint folder: the write below then
+            # no longer reads the partitions it replaces.
+            .checkpoint()
+        )
+        (
+            merged.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day")
+            .parquet(out_dir)
+        )
 
     return write
 
 
 def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest row per (day, category) across all written micro-batches."""
-    try:
-        rows = spark.read.parquet(out_dir)
-    except AnalysisException:  # no micro-batch has run yet
-        return spark.createDataFrame(
-            [], "day date, event_type string, n_events bigint, volume double"
-        )
-    latest = F.max_by(F.struct("n_events", "volume"), "batch_id")
-    return (
-        rows.groupBy("day", "event_type")
-        .agg(latest.alias("r"))
-        .select("day", "event_type", "r.n_events", "r.volume")
-    )
+    """The result table: one row per (day, category)."""
+    rows = _read_result(spark, out_dir)
+    if rows is None:
+        rows = spark.createDataFrame([], _RESULT_SCHEMA)
+    return rows.select("day", "event_type", "n_events", "volume")
 
 
 def run_daily_counts(
@@ -88,6 +119,7 @@ def run_daily_counts(
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         raise ValueError("streaming_daily_counts needs spark.sql.session.timeZone=UTC")
+    shared_dir(spark)  # the merge step checkpoints: make sure a folder is set
     out_dir = out_dir or unique_dir(spark, "stream-out")
     checkpoint_dir = checkpoint_dir or unique_dir(spark, "stream-checkpoint")
     static = spark.read.parquet(source)
@@ -105,7 +137,7 @@ def run_daily_counts(
     query = (
         daily_counts_stream(reader.parquet(source), watermark)
         .writeStream.outputMode("update")
-        .foreachBatch(_batch_writer(out_dir))
+        .foreachBatch(_merge_writer(out_dir))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()

@@ -53,6 +53,12 @@ def test_late_rows_and_duplicates(spark):
         ("2024-03-05", "purchase"): (2, 5.5),
     }
 
+    # The stored table itself holds one row per (day, category), by day.
+    stored = spark.read.parquet(out)
+    assert stored.count() == stored.select("day", "event_type").distinct().count() == 4
+    assert sorted(p for p in os.listdir(out) if p.startswith("day=")) == [
+        "day=2024-03-01", "day=2024-03-02", "day=2024-03-05"]
+
     # A new file is picked up by a second run on the same checkpoint; the
     # files already processed are not read again.
     _write(src, "e.parquet", [(8, T("2024-03-05 12:00:00"), 5, "purchase", 1.00, None)], base + 40)
