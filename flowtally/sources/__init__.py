@@ -1,10 +1,11 @@
 """Readers for the input tables and writers for result tables."""
 
-from flowtally.sources.tables import TABLES, load_table, load_tables, register_views
+from flowtally.sources.tables import TABLE_SCHEMAS, TABLES, load_table, load_tables, register_views
 from flowtally.sources.sinks import write_result
 from flowtally.sources.warehouse import read_warehouse_query
 
 __all__ = [
+    "TABLE_SCHEMAS",
     "TABLES",
     "load_table",
     "load_tables",

@@ -30,13 +30,40 @@ TABLES = (
 )
 
 
+# The input schemas (column names and types of the driver's
+# tables).  Reading with a declared schema skips Spark's schema-inference job
+# (one per load) and fails early if a table drifts from it; columns missing
+# from a file read as null.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+        "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
-def load_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """Lazy DataFrame over ``<base_dir>/<name>.parquet`` (file or folder)."""
-    return spark.read.parquet(table_path(base_dir, name))
+def load_table(spark: SparkSession, base_dir: str, name: str, infer_schema: bool = False) -> DataFrame:
+    """Lazy DataFrame over ``<base_dir>/<name>.parquet`` (file or folder),
+    read with the declared schema when the table has one."""
+    reader = spark.read
+    if name in TABLE_SCHEMAS and not infer_schema:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(table_path(base_dir, name))
 
 
 def load_tables(spark: SparkSession, base_dir: str, *names: str) -> dict[str, DataFrame]:

@@ -77,3 +77,13 @@ def test_publish_writes_every_requested_table(spark):
     assert [p.rsplit("/", 1)[-1] for p in paths] == ["kpi_totals", "nation_flows"]
     assert spark.read.parquet(paths[0]).count() == 1
     assert spark.read.parquet(paths[1]).count() > 0
+
+
+def test_declared_schemas_match_the_driver_tables(spark):
+    from flowtally.sources import TABLE_SCHEMAS, load_table
+    from tests.conftest import SF0001
+
+    for name in TABLE_SCHEMAS:
+        declared = load_table(spark, SF0001, name).schema
+        inferred = load_table(spark, SF0001, name, infer_schema=True).schema
+        assert [(f.name, f.dataType) for f in declared] == [(f.name, f.dataType) for f in inferred], name
