@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from flowtally.functions import cents, from_cents
 from flowtally.session import shared_dir, unique_dir
+from flowtally.sources.tables import TABLE_SCHEMAS
 
 
 def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -109,11 +110,14 @@ def run_daily_counts(
     max_files_per_trigger: int | None = None,
     out_dir: str | None = None,
     checkpoint_dir: str | None = None,
+    schema: str | None = TABLE_SCHEMAS["events"],
 ) -> DataFrame:
     """Process every file available under ``source`` (a Parquet file or
     folder of the ``events`` schema), then return the result table.
 
-    Folders default to fresh ones under the shared ``spark.checkpoint.dir``.
+    ``schema`` is the source's schema (default: the ``events`` schema; None
+    infers it from the files).  Folders default to fresh ones under the
+    shared ``spark.checkpoint.dir``.
     Passing the same ``out_dir`` and ``checkpoint_dir`` again continues the
     same query with only the files that arrived since.
     """
@@ -122,7 +126,7 @@ def run_daily_counts(
     shared_dir(spark)  # the merge step checkpoints: make sure a folder is set
     out_dir = out_dir or unique_dir(spark, "stream-out")
     checkpoint_dir = checkpoint_dir or unique_dir(spark, "stream-checkpoint")
-    static = spark.read.parquet(source)
+    static = (spark.read.schema(schema) if schema else spark.read).parquet(source)
     reader = spark.readStream.schema(static.schema)
     source = source.rstrip("/")
     name = source.rsplit("/", 1)[-1]
