@@ -9,17 +9,18 @@ integer key instead:
 
 * values are amounts with two decimals, so ``key = cents + 2^62`` is a
   non-negative 63-bit integer with the same order;
-* four passes each read a 16-bit digit of the key: count rows per
+* three passes each read a 21-bit digit of the key: count rows per
   (group, target rank, digit) among the rows whose higher digits were already
-  fixed, run a running count over at most 65,536 digits, and keep the digit
+  fixed, run a running count over at most 2^21 digits, and keep the digit
   whose running count covers the target rank;
-* after the fourth pass the key, hence the value, is known exactly.
+* after the third pass the key, hence the value, is known exactly.
 
 Every pass is a join of the (group, key) counts with the small table of open
 targets followed by a partially aggregated hash aggregation, and every window
-partition has at most 2^16 rows (one per digit), whatever the size or skew
-of the data.  The (group, key) counts are computed once and their shuffle is
-reused by all four passes.
+partition has at most 2^21 rows (one per digit), whatever the size or skew
+of the data (the window operator spills past its memory threshold).  The
+(group, key) counts are computed once and their shuffle is reused by all
+three passes.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from flowtally.functions import cents
 
-_DIGIT_BITS = 16
-_SHIFTS = (48, 32, 16, 0)
+_DIGIT_BITS = 21
+_SHIFTS = (42, 21, 0)
 _OFFSET = 1 << 62
 _MASK = (1 << _DIGIT_BITS) - 1
 
@@ -56,8 +57,8 @@ def exact_quantiles(
 
     # ``key`` is declared non-null (values are filtered to non-null first):
     # otherwise each pass's join would add an inferred IsNotNull filter that
-    # Catalyst pushes below the counts aggregation, the four copies of
-    # ``counts`` would differ, and the table would be scanned four times
+    # Catalyst pushes below the counts aggregation, the copies of
+    # ``counts`` would differ, and the table would be scanned once per pass
     # instead of sharing one shuffle.
     key = F.coalesce(cents(value) + F.lit(_OFFSET), F.lit(0).cast("long")).alias("key")
     counts = (

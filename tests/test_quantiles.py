@@ -1,5 +1,5 @@
 """Radix-select quantiles against a brute-force exact computation, with
-values spread over every 16-bit digit of the key, negatives, duplicates, a
+values spread over all three 21-bit digits of the key, negatives, duplicates, a
 group holding most rows, tiny groups and a null group."""
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def data():
     rnd = random.Random(7)
     rows = []
     # hot group: most rows, magnitudes from a cent to 1e12 (the largest that a
-    # DOUBLE still holds to the cent), both signs: the low three 16-bit digits
-    # of the key take many values and the top digit splits on the sign
+    # DOUBLE still holds to the cent), both signs: the two low 21-bit digits
+    # of the key take many values, the top one splits on sign and magnitude
     for _ in range(6000):
         mag = 10 ** rnd.uniform(-2, 12)
         v = round(mag * rnd.choice((1, 1, 1, -1)), 2)
