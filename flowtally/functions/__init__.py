@@ -1,7 +1,6 @@
 """Column expressions shared by the operators (all built-in, JVM-side)."""
 
 from flowtally.functions.columns import (
-    AMOUNT_TYPE,
     GRAINS,
     VALUE_BANDS,
     cents,
@@ -16,7 +15,6 @@ from flowtally.functions.columns import (
 )
 
 __all__ = [
-    "AMOUNT_TYPE",
     "GRAINS",
     "VALUE_BANDS",
     "cents",

@@ -13,9 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Exact decimal type of an amount, for results that need DECIMAL.
-AMOUNT_TYPE = "decimal(18,2)"
-
 GRAINS = ("day", "week", "month")
 
 # The value bands, as (order, label, lower bound inclusive,

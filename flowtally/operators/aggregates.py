@@ -2,9 +2,9 @@
 
 An activity table has a timestamp, an actor, a category and an amount
 (``events``: ``ts``, ``user_id``, ``event_type``, ``value``).  Every
-operator here is one hash aggregation: Spark aggregates partially inside
-each scan task and shuffles only the partial rows, so a category or user
-holding a third of the rows costs no more shuffle than any other.
+operator here is built on hash aggregations: Spark aggregates partially
+inside each scan task and shuffles only the partial rows, so a category or
+user holding a third of the rows costs no more shuffle than any other.
 """
 
 from __future__ import annotations

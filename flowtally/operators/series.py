@@ -76,6 +76,8 @@ def moving_average(df: DataFrame, days: int = 7, ts: str = "ts", value: str = "v
     """Mean daily events over the ``days`` calendar days ending on each day
     (days without events count as zero; the first days of the series average
     over the days available)."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
     last_n = Window.orderBy("day").rowsBetween(-(days - 1), Window.currentRow)
     return _filled_exact(df, ts, value).select(
         "day",

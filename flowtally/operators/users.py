@@ -83,6 +83,8 @@ def top_users(df: DataFrame, k: int = 10, user: str = "user_id", value: str = "v
     ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject: every task keeps
     its own top ``k`` and only those rows reach the final merge.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     top = (
         _actor_totals(df.where(F.col(user).isNotNull()), [user], value)
         .orderBy(F.col("_vol").desc_nulls_last(), F.col(user).asc())
@@ -107,6 +109,8 @@ def top_users_per_category(
     shuffle, so each task forwards at most ``k`` rows per category and a hot
     category is never gathered whole.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     per = _actor_totals(df.where(F.col(user).isNotNull()), [category, user], value)
     order = Window.partitionBy(category).orderBy(F.col("_vol").desc_nulls_last(), F.col(user).asc())
     return (

@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from flowtally.plans.catalog import EAGER, QUERIES
+from flowtally.plans.catalog import QUERIES
 from flowtally.plans.oracle import ORACLE_SQL
 
-__all__ = ["EAGER", "QUERIES", "ORACLE_SQL"]
+__all__ = ["QUERIES", "ORACLE_SQL"]

@@ -77,7 +77,3 @@ QUERIES: dict[str, Query] = {
     "gap_filled_daily": _on_events(ops.gap_filled_daily),
     "streaming_daily_counts": streaming_daily_counts,
 }
-
-# Queries whose callable runs a job when called (the stream runs to
-# completion and its result table is returned).
-EAGER = frozenset({"streaming_daily_counts"})

@@ -87,3 +87,15 @@ def test_declared_schemas_match_the_driver_tables(spark):
         declared = load_table(spark, SF0001, name).schema
         inferred = load_table(spark, SF0001, name, infer_schema=True).schema
         assert [(f.name, f.dataType) for f in declared] == [(f.name, f.dataType) for f in inferred], name
+
+
+def test_operators_reject_bad_parameters(spark):
+    import pytest
+
+    from flowtally import operators as ops
+
+    df = spark.createDataFrame([], "ts timestamp_ntz, user_id bigint, event_type string, value double")
+    for call in (lambda: ops.moving_average(df, 0), lambda: ops.top_users(df, 0),
+                 lambda: ops.top_users_per_category(df, 0), lambda: ops.activity_by_period(df, "year")):
+        with pytest.raises(ValueError):
+            call()
