@@ -99,3 +99,17 @@ def test_operators_reject_bad_parameters(spark):
                  lambda: ops.top_users_per_category(df, 0), lambda: ops.activity_by_period(df, "year")):
         with pytest.raises(ValueError):
             call()
+
+
+def test_query_views_serve_spark_sql(spark):
+    from flowtally.plans import register_query_views
+    from tests.conftest import SF0001
+
+    names = register_query_views(spark, SF0001)
+    assert "streaming_daily_counts" not in names and "nation_flows" in names
+    top = spark.sql(
+        "SELECT src_nation, sum(revenue) AS revenue FROM nation_flows GROUP BY src_nation "
+        "ORDER BY revenue DESC LIMIT 3"
+    ).collect()
+    assert len(top) == 3
+    assert spark.sql("SELECT n_events FROM kpi_totals").first()[0] == 1000
