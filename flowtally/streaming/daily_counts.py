@@ -66,35 +66,48 @@ def _read_result(spark: SparkSession, out_dir: str) -> DataFrame | None:
 
 def _merge_writer(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        updates = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        existing = _read_result(spark, out_dir)
-        if existing is not None:
-            touched = updates.select("day").distinct()
-            prior = existing.join(touched, "day", "left_semi").select(*updates.columns)
-            updates = prior.unionByName(updates)
-        newest = F.max_by(F.struct("n_events", "volume", "batch_id"), "batch_id")
-        merged = (
-            # one task per day: the aggregation below keeps this partitioning
-            # and each day partition is written as one file
-            updates.repartition("day")
-            .groupBy("day", "event_type")
-            .agg(newest.alias("r"))
-            .select("day", "event_type", "r.n_events", "r.volume", "r.batch_id")
-            # Written to the shared checkpoint folder: the write below then
-            # no longer reads the partitions it replaces.
-            .checkpoint()
-        )
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day")
-            .parquet(out_dir)
-        )
+        # The micro-batch is computed once (the stateful operators run once),
+        # then reused by the emptiness check and the merge.
+        batch.persist()
+        try:
+            if batch.isEmpty():  # e.g. a batch that only advanced the watermark
+                return
+            _merge(batch, batch_id, out_dir)
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def _merge(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+    spark = batch.sparkSession
+    updates = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    existing = _read_result(spark, out_dir)
+    if existing is not None:
+        touched = updates.select("day").distinct()
+        prior = existing.join(touched, "day", "left_semi").select(*updates.columns)
+        updates = prior.unionByName(updates)
+    newest = F.max_by(F.struct("n_events", "volume", "batch_id"), "batch_id")
+    merged = (
+        # one task per day: the aggregation below keeps this partitioning
+        # and each day partition is written as one file
+        updates.repartition("day")
+        .groupBy("day", "event_type")
+        .agg(newest.alias("r"))
+        .select("day", "event_type", "r.n_events", "r.volume", "r.batch_id")
+    )
+    if existing is not None:
+        # Written to the shared checkpoint folder first: the write below then
+        # no longer reads the partitions it replaces.
+        merged = merged.checkpoint()
+    (
+        merged.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(out_dir)
+    )
+
+
 def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
     """The result table: one row per (day, category)."""
     rows = _read_result(spark, out_dir)
