@@ -112,3 +112,18 @@ def write_skewed_flow_tables(folder: str, seed: int = 5) -> None:
             lines.append((o, supp, round(rnd.uniform(1, 90000), 2), rnd.randrange(0, 11) / 100))
     write("lineitem", pa.schema([("l_orderkey", pa.int64()), ("l_suppkey", pa.int64()),
                                  ("l_extendedprice", pa.float64()), ("l_discount", pa.float64())]), lines)
+
+
+def split_into_files(folder: str, name: str, parts: int) -> None:
+    """Rewrite ``<name>.parquet`` as a folder of ``parts`` files, so Spark
+    reads it with several map tasks."""
+    import os
+
+    path = os.path.join(folder, f"{name}.parquet")
+    table = pq.read_table(path)
+    os.remove(path)
+    os.makedirs(path)
+    n = table.num_rows
+    for i in range(parts):
+        lo, hi = i * n // parts, (i + 1) * n // parts
+        pq.write_table(table.slice(lo, hi - lo), os.path.join(path, f"part-{i:03d}.parquet"))

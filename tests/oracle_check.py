@@ -30,8 +30,11 @@ def duck_connect(table_dir: str, names=VIEWS) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in names:
         path = os.path.join(table_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+        if os.path.isdir(path):  # a table written as a folder of part files
+            path = os.path.join(path, "*.parquet")
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
