@@ -110,6 +110,8 @@ def write_skewed_flow_tables(folder: str, seed: int = 5) -> None:
         for _ in range(rnd.randrange(1, 6)):
             supp = 2 if rnd.random() < 0.34 else rnd.randrange(1, 11)
             lines.append((o, supp, round(rnd.uniform(1, 90000), 2), rnd.randrange(0, 11) / 100))
+    # corrections with negative prices: the revenue split must stay exact
+    lines += [(3, 2, -1234.56, 0.05), (4, 5, -99999.99, 0.0), (4, 5, -0.01, 0.1)]
     write("lineitem", pa.schema([("l_orderkey", pa.int64()), ("l_suppkey", pa.int64()),
                                  ("l_extendedprice", pa.float64()), ("l_discount", pa.float64())]), lines)
 
