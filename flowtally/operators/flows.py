@@ -27,7 +27,8 @@ Scale notes:
   split as ``hi * 10^6 + lo`` (``|lo| < 10^6``) and the two parts are summed
   separately; neither sum can overflow below ~9 * 10^12 orders per flow.
   The parts are recombined in DECIMAL on the 625 result rows only (a
-  DECIMAL(38,0) sum over the orders would run ~1.4x slower end to end).
+  DECIMAL(38,0) sum over the orders keeps its buffer as bytes and made the
+  query about twice as slow).
 * After the per-order step a row is one (order, destination) pair and an
   order has one source, so distinct orders per flow are a plain row count.
   Distinct customers use Spark's single-distinct plan, which deduplicates
