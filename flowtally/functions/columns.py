@@ -74,8 +74,10 @@ def iso_weekday(ts: str | Column = "ts") -> Column:
 
 def json_int(c: str | Column, key: str) -> Column:
     """Integer under a top-level JSON key; null if the text is not JSON, the
-    key is missing, or its value is not an integer."""
-    return F.get_json_object(_col(c), f"$.{key}").try_cast("int")
+    key is missing, or its value is not an integer token (``2.5``, ``1e3``,
+    ``"7"`` quoted as text is accepted as 7; overflow gives null)."""
+    raw = F.get_json_object(_col(c), f"$.{key}")
+    return F.when(raw.rlike(r"^-?[0-9]+$"), raw.try_cast("int"))
 
 
 def _band_expr(c: Column, pick: int) -> Column:

@@ -159,9 +159,11 @@ SELECT CAST(isodow(ts) AS INTEGER) AS iso_weekday, CAST(hour(ts) AS INTEGER) AS
        count(*) AS n_events, {VOL} AS volume
 FROM events GROUP BY 1, 2""",
     "json_key_counts": f"""
-SELECT TRY_CAST(CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{JSON_KEY}') END AS INTEGER) AS key_value,
+SELECT CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN TRY_CAST(raw AS INTEGER) END AS key_value,
        count(*) AS n_events, {VOL} AS volume
-FROM events GROUP BY 1""",
+FROM (SELECT *, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{JSON_KEY}') END AS raw
+      FROM events)
+GROUP BY 1""",
     "weekly_retention": f"""
 WITH {_PAIRS_WEEK},
     c AS (SELECT user_id, min(week) AS cohort_week FROM p GROUP BY user_id),
