@@ -37,7 +37,7 @@ _FILLED = _DAILY + """,
     b AS (SELECT min(day) AS lo, max(day) AS hi FROM d),
     cal AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
     f AS (SELECT cal.day, coalesce(d.n_events, 0) AS n_events,
-                 coalesce(d.vol, CAST(0 AS DECIMAL(18,2))) AS vol
+                 CASE WHEN d.day IS NULL THEN CAST(0 AS DECIMAL(18,2)) ELSE d.vol END AS vol
           FROM cal LEFT JOIN d ON cal.day = d.day)"""
 
 _PAIRS_DAY = """
