@@ -40,7 +40,10 @@ _MASK = (1 << _DIGIT_BITS) - 1
 
 
 def _prob_label(p: float) -> str:
-    return "p" + format(Decimal(str(p)) * 100, "f").rstrip("0").rstrip(".").replace(".", "_")
+    pct = format(Decimal(str(p)) * 100, "f")
+    if "." in pct:
+        pct = pct.rstrip("0").rstrip(".")
+    return "p" + pct.replace(".", "_")
 
 
 def exact_quantiles(
@@ -54,6 +57,8 @@ def exact_quantiles(
     probs = list(probs)
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
+    if len({_prob_label(p) for p in probs}) != len(probs):
+        raise ValueError("probabilities must be distinct")
 
     # ``key`` is declared non-null (values are filtered to non-null first):
     # otherwise each pass's join would add an inferred IsNotNull filter that

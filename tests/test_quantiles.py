@@ -70,10 +70,13 @@ def test_exact_quantiles_brute_force(spark, data):
 def test_labels():
     from flowtally.operators.quantiles import _prob_label
 
-    assert [_prob_label(p) for p in (0.5, 0.95, 0.999, 1.0, 0.0)] == ["p50", "p95", "p99_9", "p100", "p0"]
+    assert [_prob_label(p) for p in (0.5, 0.95, 0.999, 1.0, 0.0, 1, 0, 0.01, 0.1)] == [
+        "p50", "p95", "p99_9", "p100", "p0", "p100", "p0", "p1", "p10"]
 
 
 def test_rejects_bad_probability(spark):
     df = spark.createDataFrame([("a", 1.0)], "g string, v double")
     with pytest.raises(ValueError):
         exact_quantiles(df, "g", "v", (1.5,))
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "g", "v", (0.5, 0.50))
