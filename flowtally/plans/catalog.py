@@ -48,7 +48,10 @@ def nation_flows(spark: SparkSession, d: str) -> DataFrame:
 def streaming_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     from flowtally.streaming import run_daily_counts
 
-    return run_daily_counts(spark, table_path(d, "events"))
+    # One state partition per core of the cluster (defaultParallelism).
+    return run_daily_counts(
+        spark, table_path(d, "events"), state_partitions=spark.sparkContext.defaultParallelism
+    )
 
 
 QUERIES: dict[str, Query] = {

@@ -124,12 +124,17 @@ def run_daily_counts(
     out_dir: str | None = None,
     checkpoint_dir: str | None = None,
     schema: str | None = TABLE_SCHEMAS["events"],
+    state_partitions: int | None = None,
 ) -> DataFrame:
     """Process every file available under ``source`` (a Parquet file or
     folder of the ``events`` schema), then return the result table.
 
     ``schema`` is the source's schema (default: the ``events`` schema; None
-    infers it from the files).  Folders default to fresh ones under the
+    infers it from the files).  ``state_partitions`` fixes the number of
+    state-store partitions of a new query (AQE cannot coalesce stateful
+    shuffles); it is applied to the session only while the query starts,
+    since a stream copies the session's settings then, and is kept in the
+    checkpoint for restarts.  None uses ``spark.sql.shuffle.partitions``.  Folders default to fresh ones under the
     shared ``spark.checkpoint.dir``.
     Passing the same ``out_dir`` and ``checkpoint_dir`` again continues the
     same query with only the files that arrived since.
@@ -151,14 +156,21 @@ def run_daily_counts(
         source = source.rsplit("/", 1)[0]
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    query = (
+    writer = (
         daily_counts_stream(reader.parquet(source), watermark)
         .writeStream.outputMode("update")
         .foreachBatch(_merge_writer(out_dir))
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
-        .start()
     )
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(key, previous)
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"stream failed: {query.exception()}")

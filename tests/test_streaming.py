@@ -74,3 +74,10 @@ def test_single_file_source_matches_batch(spark, fixture_dir):
     got = _result(df)
     assert got[("2024-01-05", "purchase")] == (12, 60.0)
     assert ("2024-02-01", "purchase") in got and ("2024-01-31", "purchase") in got
+
+
+def test_state_partitions_leave_session_unchanged(spark, fixture_dir):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = run_daily_counts(spark, os.path.join(fixture_dir, "events.parquet"), state_partitions=3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert df.count() > 0
