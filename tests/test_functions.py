@@ -113,3 +113,14 @@ def test_query_views_serve_spark_sql(spark):
     ).collect()
     assert len(top) == 3
     assert spark.sql("SELECT n_events FROM kpi_totals").first()[0] == 1000
+
+
+def test_warehouse_reader_checks_partitioning_arguments(spark):
+    """The JDBC reader itself needs a warehouse (none here); its argument
+    check runs before any connection is opened."""
+    import pytest
+
+    from flowtally.sources import read_warehouse_query
+
+    with pytest.raises(ValueError):
+        read_warehouse_query(spark, "jdbc:none://nowhere", "SELECT 1", partition_column="id")
