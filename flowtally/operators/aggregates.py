@@ -125,18 +125,26 @@ def filtered_period(
     user: str = "user_id",
     category: str = "event_type",
     value: str = "value",
+    partition_day: str | None = None,
 ) -> DataFrame:
     """Per-category events, volume and distinct actors for ``start <= ts <
     end`` (``'YYYY-MM-DD[ HH:MM:SS]'``, no zone) and the listed categories.
 
     Bounds are TIMESTAMP_NTZ literals, the column's own type, so both
     predicates reach the Parquet scan as pushed filters and row groups outside
-    the range are skipped.
+    the range are skipped.  For a table stored partitioned by the event's
+    calendar day, name that column in ``partition_day``: a (conservative)
+    day-range predicate on it lets Spark skip whole partitions, and the
+    ``ts`` predicate still decides each row.
     """
     lo = F.lit(start).cast("timestamp_ntz")
     hi = F.lit(end).cast("timestamp_ntz")
+    cond = (F.col(ts) >= lo) & (F.col(ts) < hi) & F.col(category).isin(list(categories))
+    if partition_day is not None:
+        day = F.col(partition_day)
+        cond = cond & (day >= F.to_date(lo)) & (day <= F.to_date(hi))
     return (
-        df.where((F.col(ts) >= lo) & (F.col(ts) < hi) & F.col(category).isin(list(categories)))
+        df.where(cond)
         .groupBy(category)
         .agg(_count(), exact_sum(value).alias("volume"), F.countDistinct(user).alias("n_users"))
     )

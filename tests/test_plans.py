@@ -66,3 +66,26 @@ def test_shared_dir_reads_session_setting(spark):
     from flowtally.session import shared_dir
 
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_filtered_period_prunes_day_partitions(spark, fixture_dir):
+    """On a table partitioned by day, the optional day predicate prunes
+    partitions and the result is the same as on the flat table."""
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from flowtally import operators as ops
+    from flowtally.sources import load_table
+
+    out = tempfile.mkdtemp(prefix="flowtally-partitioned-")
+    flat = load_table(spark, fixture_dir, "events")
+    flat.withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(os.path.join(out, "events.parquet"))
+    parted = load_table(spark, out, "events")
+    args = ("2024-01-02 12:00:00", "2024-01-10 23:59:59.999999", ["purchase", "view", "signup"])
+    got = ops.filtered_period(parted, *args, partition_day="dt")
+    want = ops.filtered_period(flat, *args)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    p = plan(got)
+    assert "PartitionFilters: [isnotnull(dt" in p and "(dt#" in p
