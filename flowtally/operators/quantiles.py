@@ -10,9 +10,9 @@ integer key instead:
 * values are amounts with two decimals, so ``key = cents + 2^62`` is a
   non-negative 63-bit integer with the same order;
 * three passes each read a 21-bit digit of the key: count rows per
-  (group, target rank, digit) among the rows whose higher digits were already
-  fixed, run a running count over at most 2^21 digits, and keep the digit
-  whose running count covers the target rank;
+  (group, fixed higher digits, digit), run a running count over at most 2^21
+  digits, and for each target rank keep the digit whose running count
+  covers it;
 * after the third pass the key, hence the value, is known exactly.
 
 Every pass is a join of the (group, key) counts with the small table of open
@@ -116,12 +116,15 @@ def exact_quantiles(
             .groupBy("g", "prefix", "ts", "d")
             .agg(F.sum("c").alias("cnt"))
         )
-        running = Window.partitionBy("g", "t.pi", "t.side").orderBy("d").rowsBetween(
+        # The running count is the same for every target under a (group,
+        # prefix), so it is computed once per prefix, before the targets are
+        # unpacked.
+        running = Window.partitionBy("g", "prefix").orderBy("d").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         targets = (
-            hist.select("g", "prefix", "d", "cnt", F.explode("ts").alias("t"))
-            .withColumn("upto", F.sum("cnt").over(running))
+            hist.withColumn("upto", F.sum("cnt").over(running))
+            .select("g", "prefix", "d", "cnt", "upto", F.explode("ts").alias("t"))
             .where((F.col("upto") - F.col("cnt") <= F.col("t.rem")) & (F.col("t.rem") < F.col("upto")))
             .select(
                 "g",
