@@ -134,8 +134,9 @@ def run_daily_counts(
     state-store partitions of a new query (AQE cannot coalesce stateful
     shuffles); it is applied to the session only while the query starts,
     since a stream copies the session's settings then, and is kept in the
-    checkpoint for restarts.  None uses ``spark.sql.shuffle.partitions``.  Folders default to fresh ones under the
-    shared ``spark.checkpoint.dir``.
+    checkpoint for restarts.  None uses ``spark.sql.shuffle.partitions``.
+
+    Folders default to fresh ones under the shared ``spark.checkpoint.dir``.
     Passing the same ``out_dir`` and ``checkpoint_dir`` again continues the
     same query with only the files that arrived since.
     """
