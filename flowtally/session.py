@@ -19,6 +19,10 @@ CORE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # PySpark 4 records the Python call site of every DataFrame/function call
+    # for error messages, at several JVM round trips per call; without it the
+    # driver builds plans 25-30% faster (radix quantiles: 1.4 s -> 1.0 s).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
