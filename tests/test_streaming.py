@@ -108,3 +108,19 @@ def test_merge_sink_is_idempotent(spark):
     assert table() == [("2024-03-01", "click", 2, 3.0), ("2024-03-02", "view", 4, 9.5)]
     write(spark.createDataFrame([], schema), 3)  # empty batch: nothing changes
     assert len(table()) == 2
+
+
+def test_rocksdb_state_store(spark, fixture_dir):
+    """The cluster settings put stream state in RocksDB; results are the same."""
+    from flowtally.session import CLUSTER_CONF
+
+    keys = [k for k in CLUSTER_CONF if k.startswith("spark.sql.streaming.stateStore")]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, CLUSTER_CONF[k])
+        got = _result(run_daily_counts(spark, os.path.join(fixture_dir, "events.parquet"), state_partitions=2))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got[("2024-01-05", "purchase")] == (12, 60.0)
