@@ -48,12 +48,14 @@ def _prob_label(p: float) -> str:
 
 def exact_quantiles(
     df: DataFrame,
-    group: str,
+    group: str | None,
     value: str = "value",
     probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95),
 ) -> DataFrame:
     """One row per group: ``n_values`` and one column per probability
-    (``p50`` for 0.5, ``p99_9`` for 0.999), null values ignored."""
+    (``p50`` for 0.5, ``p99_9`` for 0.999), null values ignored.  With
+    ``group=None`` the quantiles are taken over all rows (one output row, no
+    group column); the passes stay bounded the same way."""
     probs = list(probs)
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
@@ -70,7 +72,7 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull())
         # The group travels as a one-field struct: a struct is never null, so
         # the joins below match a null group like any other value.
-        .select(F.struct(F.col(group).alias("k")).alias("g"), key)
+        .select(F.struct((F.col(group) if group else F.lit(0)).alias("k")).alias("g"), key)
         .groupBy("g", "key")
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -139,7 +141,8 @@ def exact_quantiles(
 
     # After the last pass the prefix is the whole key of the wanted value.
     v = ((F.col("prefix") - F.lit(_OFFSET)).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
-    per_group = targets.groupBy(F.col("g.k").alias(group)).agg(
+    out_key = group or "_all"
+    per_group = targets.groupBy(F.col("g.k").alias(out_key)).agg(
         F.max("n").alias("n_values"),
         *[
             F.max(F.when((F.col("pi") == i) & (F.col("side") == side), col)).alias(f"_{name}{i}")
@@ -148,7 +151,7 @@ def exact_quantiles(
         ],
     )
     return per_group.select(
-        group,
+        *([group] if group else []),
         "n_values",
         *[
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))

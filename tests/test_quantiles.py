@@ -80,3 +80,15 @@ def test_rejects_bad_probability(spark):
         exact_quantiles(df, "g", "v", (1.5,))
     with pytest.raises(ValueError):
         exact_quantiles(df, "g", "v", (0.5, 0.50))
+
+
+def test_global_quantiles(spark, data):
+    df = spark.createDataFrame(data, "g string, v double")
+    rows = exact_quantiles(df, None, "v", PROBS).collect()
+    assert len(rows) == 1 and "g" not in rows[0].asDict()
+    want = _expected({"all": [v for _, v in data if v is not None]})["all"]
+    from flowtally.operators.quantiles import _prob_label
+
+    assert rows[0]["n_values"] == want["n_values"]
+    for p in PROBS:
+        assert rows[0][_prob_label(p)] == want[p], p
