@@ -83,6 +83,8 @@ def category_pivot(
     The categories are listed by the caller so Spark does not run a separate
     job to find them; rows of other categories are not counted.
     """
+    if not categories:
+        raise ValueError("list at least one category to pivot")
     pivoted = (
         df.groupBy(event_day(ts).alias("day"))
         .pivot(category, list(categories))

@@ -96,7 +96,8 @@ def test_operators_reject_bad_parameters(spark):
 
     df = spark.createDataFrame([], "ts timestamp_ntz, user_id bigint, event_type string, value double")
     for call in (lambda: ops.moving_average(df, 0), lambda: ops.top_users(df, 0),
-                 lambda: ops.top_users_per_category(df, 0), lambda: ops.activity_by_period(df, "year")):
+                 lambda: ops.top_users_per_category(df, 0), lambda: ops.activity_by_period(df, "year"),
+                 lambda: ops.category_pivot(df, [])):
         with pytest.raises(ValueError):
             call()
 
