@@ -21,18 +21,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtally.llm.common import held_out, text_pieces
-from flowtally.llm.substring_dedup import hash_words, in_sorted
+from flowtally.llm.words import hash_words, in_sorted, word_edges
 
 SEGMENT = 24
 LETTER = re.compile(rb"[A-Za-z]")
-BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def cut_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(start, size) of the words of ``data``, long ones in pieces."""
-    space = BLANKS[np.frombuffer(data, np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    start, size = edge[::2], edge[1::2] - edge[::2]
+    start, end = word_edges(np.frombuffer(data, np.uint8))
+    size = end - start
     pieces = -(-size // SEGMENT)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start, left = np.repeat(start, pieces) + nth * SEGMENT, np.repeat(size, pieces) - nth * SEGMENT

@@ -25,41 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowtally.llm.common import per_bucket, text_buckets
+from flowtally.llm.words import constants, hash_words, in_sorted, mix, word_edges
 
 PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference set
 NO_ID = np.iinfo(np.int64).max  # rows without an id come last
 PIECE = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that is far from linear."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _constants(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
-    rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, 258, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a[:256], a[256], a[257]
-
-
-def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hash of each word ``data[start:end]``."""
-    symbol, base, _ = _constants(seed)
-    size = end - start
-    power = np.full(int(size.max()), base, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    at = np.concatenate([[0], np.cumsum(size)[:-1]])
-    within = np.arange(int(size.sum())) - np.repeat(at, size)
-    flat = symbol[data[np.repeat(start, size) + within]] * power[within]
-    return _mix(np.add.reduceat(flat, at) + size.astype(np.uint64))
-
-
 class Bucket:
     """Words of a bucket's documents as hashes, one array for all."""
 
@@ -68,9 +39,7 @@ class Bucket:
         counts = []
         for piece in _pieces(texts):
             data = np.frombuffer(b" ".join(piece), np.uint8)
-            space = _SPACE[data]
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-            start, end = edge[::2], edge[1::2]
+            start, end = word_edges(data)
             begin = np.cumsum([0, *(len(t) + 1 for t in piece)])
             counts.append(np.diff(np.searchsorted(start, begin)))
             if len(start):
@@ -89,13 +58,13 @@ class Bucket:
 
     def spans(self, starts: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each start."""
-        _, _, base = _constants(self.seeds[which])
+        base = constants(self.seeds[which])[2]
         h, out, power = self.hashes[which], np.zeros(len(starts), np.uint64), np.uint64(1)
         with np.errstate(over="ignore"):
             for k in range(length):
                 out += h[starts + k] * power
                 power = power * base
-        return _mix(out)
+        return mix(out)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(word, hash) of the anchors at cover positions."""
@@ -133,13 +102,6 @@ def _pieces(texts: list[bytes]):
         yield held
 
 
-def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
-
-
 PACKED = "bucket int, part int, blob binary"
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])

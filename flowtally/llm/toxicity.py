@@ -1,7 +1,7 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over byte n-grams (presence, 4 to 6 bytes of the lower-cased
-text with punctuation as blanks).  It is fitted on a bounded sample of labelled
+A logistic model over the presence of words and of word beginnings (3 to 8
+bytes of a longer word), in lower case and with punctuation as blanks.  It is fitted on a bounded sample of labelled
 documents.  For every one a counterfactual is made: each identity term is
 swapped for another of its group; a text without any gets a neutral mention.
 The squared difference of the two scores (before the logistic function) is part
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from flowtally.llm.common import filter_by_text, held_out, text_pieces
 from flowtally.llm.langid import labelled_sample
+from flowtally.llm.words import hash_words, in_sorted, mix, word_edges
 
-GRAMS = (4, 5, 6)
-BITS = 20
-GAP = b" " * max(GRAMS)  # no n-gram reaches from one document into the next
+PREFIXES = (3, 4, 5, 6, 7, 8)
+SIGNIFICANT = 24.0  # G-squared at about one in a million, for the many features tried
+FILTER_BITS = 20
 LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 # Identity terms, in groups whose members stand for each other.
@@ -55,95 +56,127 @@ def counterfactual(text: bytes, nth: int) -> bytes:
     return text + b" " + terms[nth % len(terms)] + b" "
 
 
-def grams(texts: list[bytes], column: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hashed n-gram) of all n-grams of normalised texts; with
-    ``column`` (n-gram -> feature or -1) only features, by their number."""
-    data = np.frombuffer(GAP + GAP.join(texts) + GAP, np.uint8)
-    begin = np.cumsum([0, *(len(t) + len(GAP) for t in texts)])
-    docs, out = [], []
-    code = np.zeros(len(data), np.uint64)
-    for k in range(max(GRAMS)):
-        code[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
-        if k + 1 in GRAMS:
-            h = (code[: len(data) - k] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-            h = (h >> np.uint64(64 - BITS)).astype(np.int32)
-            if column is None:
-                at = np.arange(len(h))
-            else:
-                h = column[h]
-                at = np.flatnonzero(h >= 0)
-            docs.append(np.clip(np.searchsorted(begin, at, "right") - 1, 0, len(texts) - 1))
-            out.append(h[at].astype(np.int64))
-    return np.concatenate(docs), np.concatenate(out)
-
-
-def _distinct(values: np.ndarray) -> np.ndarray:
-    values.sort()
-    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, 64-bit hash) of every word and word beginning of normalised
+    texts, repeats included."""
+    joined = b" ".join(texts) + b" " * max(PREFIXES)
+    data = np.frombuffer(joined, np.uint8)
+    start, end = word_edges(data)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    doc = np.searchsorted(np.cumsum([0, *(len(t) + 1 for t in texts)]), start, "right") - 1
+    code = np.zeros(len(start), np.uint64)
+    docs, hashes = [doc], [hash_words(data, start, end, 3)]
+    for k in range(1, max(PREFIXES) + 1):
+        code |= data[start + (k - 1)].astype(np.uint64) << np.uint64(8 * (k - 1))
+        if k in PREFIXES:
+            longer = end - start > k
+            docs.append(doc[longer])
+            hashes.append(mix(code[longer] + np.uint64(k)))
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+class Presence:
+    """Looks up which of the chosen features a text has."""
+
+    def __init__(self, features: np.ndarray):
+        self.features = np.sort(features)
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[self._short(self.features)] = True
+
+    @staticmethod
+    def _short(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, feature number)."""
+        doc, h = text_features(texts)
+        at = np.flatnonzero(self.maybe[self._short(h)])
+        doc, h = doc[at], h[at]
+        known = in_sorted(h, self.features)
+        width = len(self.features) + 1
+        pair = np.unique(doc[known] * width + np.searchsorted(self.features, h[known]))
+        return pair // width, pair % width
 
 
 class ToxicityModel:
-    """Weights of the selected n-grams."""
+    """Weights of the chosen features."""
 
-    def __init__(self, column: np.ndarray, weight: np.ndarray, bias: float):
-        self.column, self.weight, self.bias = column, weight, bias  # column: n-gram -> feature or -1
-
-    def _present(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        doc, feature = grams(texts, self.column)
-        pair = _distinct(doc * len(self.weight) + feature)
-        return pair // len(self.weight), pair % len(self.weight)
+    def __init__(self, presence: Presence, weight: np.ndarray, bias: float):
+        self.presence, self.weight, self.bias = presence, weight, bias
 
     def scores(self, data: list[bytes | None]) -> np.ndarray:
         """Probability of label 1 for whole texts."""
-        doc, feature = self._present([normalised(t) for t in data])
+        doc, feature = self.presence.pairs([normalised(t) for t in data])
         z = np.bincount(doc, self.weight[feature], minlength=len(data)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _dense(texts: list[bytes], column: np.ndarray, features: int) -> np.ndarray:
-    x = np.zeros((len(texts), features), np.float32)
+def _dense(texts: list[bytes], presence: Presence) -> np.ndarray:
+    x = np.zeros((len(texts), len(presence.features)), np.float32)
     for i in range(0, len(texts), 200):
-        doc, feature = grams(texts[i : i + 200], column)
+        doc, feature = presence.pairs(texts[i : i + 200])
         x[i + doc, feature] = 1
     return x
 
 
-def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 2048, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 600) -> ToxicityModel:
-    """Selects the n-grams whose presence tells most about the label and fits
+def _counts(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of three texts or more, and in how many of each label."""
+    found = []
+    for i in range(0, len(texts), 200):
+        doc, h = text_features(texts[i : i + 200])
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+        found.append((h[new], labels[i + doc[new]]))
+    h, y = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(h, kind="stable")
+    h, y = h[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    total = np.diff(np.concatenate([first, [len(h)]]))
+    ones = np.add.reduceat(y, first) if len(h) else total
+    often = total >= 3
+    return h[first][often], np.stack([total - ones, ones])[:, often]
+
+
+def _likelihood_ratio(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """G-squared of presence against label; ``seen`` (labels, features)."""
+    n, present = total.sum(), seen.sum(axis=0)
+    out = np.zeros(seen.shape[1])
+    for count, margin in ((seen, present), (total[:, None] - seen, n - present)):
+        expected = margin * (total[:, None] / n)
+        ratio = np.divide(count, expected, out=np.ones(expected.shape), where=(count > 0) & (expected > 0))
+        out += 2 * (count * np.log(ratio)).sum(axis=0)
+    return out
+
+
+def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 1024, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 600) -> ToxicityModel:
+    """Selects the features whose presence tells most (and significantly) about
+    the label and fits
     logistic loss + ``penalty`` x mean squared counterfactual change + ``ridge``."""
     texts = [normalised(t) for t in texts]
-    seen = np.zeros((2, 1 << BITS), np.int32)
-    for i in range(0, len(texts), 200):
-        doc, gram = grams(texts[i : i + 200])
-        pair = _distinct(doc << BITS | gram)
-        for y in (0, 1):
-            at = labels[i + (pair >> BITS)] == y
-            seen[y] += np.bincount(pair[at] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-    total = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
-    rate = (seen + 0.5) / (total + 1)
-    # information of presence about the label, for n-grams seen in ten texts or more
-    gain = np.where(seen.sum(axis=0) >= 10, np.abs(np.log(rate[1] / rate[0])) * np.abs(rate[1] - rate[0]), 0)
+    candidates, seen = _counts(texts, labels)
+    gain = _likelihood_ratio(seen, np.bincount(labels, minlength=2))
     best = np.argsort(-gain, kind="stable")[:features]
-    best = best[gain[best] > 0]
-    column = np.full(1 << BITS, -1, np.int16)
-    column[best] = np.arange(len(best))
-    if not len(best):
+    presence = Presence(candidates[best[gain[best] >= SIGNIFICANT]])
+    if not len(presence.features):
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
-        return ToxicityModel(column, np.zeros(1), float(np.log(share / (1 - share))))
-    x, other = _dense(texts, column, len(best)), _dense([counterfactual(t, i) for i, t in enumerate(texts)], column, len(best))
+        return ToxicityModel(presence, np.zeros(1), math.log(share / (1 - share)))
+    x, other = _dense(texts, presence), _dense([counterfactual(t, i) for i, t in enumerate(texts)], presence)
     change, y = other - x, labels.astype(np.float32)
-    w, b, n = np.zeros(len(best), np.float32), 0.0, len(y)
+    w, b, n = np.zeros(x.shape[1], np.float32), 0.0, len(y)
+    share = (1 / (2 * np.bincount(labels, minlength=2).clip(1)))[labels].astype(np.float32)  # both labels weigh the same
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / n
+        error = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * share
         g = x.T @ error + penalty * 2 / n * (change.T @ (change @ w)) + ridge * w
         gb = float(error.sum())
         m, s = m + 0.1 * (g - m), s + 0.01 * (g * g - s)
         mb, sb = mb + 0.1 * (gb - mb), sb + 0.01 * (gb * gb - sb)
         f, v = 1 - 0.9**step, 1 - 0.99**step
-        w = w - 0.05 * (m / f) / (np.sqrt(s / v) + 1e-8)
-        b -= 0.05 * (mb / f) / (math.sqrt(sb / v) + 1e-8)
-    return ToxicityModel(column, w.astype(np.float64), b)
+        w = w - 0.1 * (m / f) / (np.sqrt(s / v) + 1e-8)
+        b -= 0.1 * (mb / f) / (math.sqrt(sb / v) + 1e-8)
+    return ToxicityModel(presence, w.astype(np.float64), b)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityModel | None:
