@@ -68,16 +68,20 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+SEPARATOR = b"\xff"  # no UTF-8 text holds this byte
+
+
 def _pack(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), np.uint32, len(words))
-    return zlib.compress(np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words), 1)
+    return zlib.compress(SEPARATOR.join(words), 1)
 
 
 def _unpack(blob: bytes) -> list[bytes]:
-    raw = zlib.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+    return zlib.decompress(blob).split(SEPARATOR)
+
+
+def _id_type(end: int) -> type:
+    """Narrowest type for ids and the mark ``end`` behind each word's."""
+    return np.uint16 if end < 1 << 16 else np.uint32
 
 
 def _by_part(words: set[bytes], parts: int) -> dict[int, list[bytes]]:
@@ -104,14 +108,14 @@ def _encoded(rows: DataFrame, parts: int, pattern: str, ranks) -> DataFrame:
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         table, known, blobs = ranks.value, {}, []
+        end = max(table.values(), default=0) + 1
         for blob in frame["blob"]:
-            ids = []
+            flat = []
             for w in _unpack(blob):
                 if (got := known.get(w)) is None:
-                    got = known[w] = np.array(encode_word(w, table), np.uint32)
-                ids.append(got)
-            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            blobs.append(zlib.compress(sizes.tobytes() + np.concatenate(ids).tobytes(), 1))
+                    got = known[w] = (*encode_word(w, table), end)
+                flat += got
+            blobs.append(zlib.compress(np.array(flat, _id_type(end)).tobytes(), 1))
         return pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "blob": blobs})
 
     sent = per_bucket(rows, words, "bucket int, part int, blob binary")
@@ -131,18 +135,20 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
 
     def join(texts_: pa.Table, replies: pa.Table) -> pa.Table:
         token = {i: b for b, i in ranks.value.items()}  # the token-byte table
+        end = max(token, default=0) + 1
         split = regex.compile(pattern).findall
         docs_ = [split(t.decode("utf-8", "replace")) for t in texts_.column("text").to_pylist()]
-        by_part = _by_part({w.encode() for words in docs_ for w in words}, n)
+        by_part = _by_part({w.encode() for w in set().union(*docs_)}, n)
         ids: dict[str, list[int]] = {}
+        raw_bytes: dict[str, bytes] = {}
         for part, blob in zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist()):
-            raw = np.frombuffer(zlib.decompress(blob), np.uint32)
-            found = by_part[part]
-            ends = np.cumsum(raw[: len(found)], dtype=np.int64).tolist()
-            flat = raw[len(found) :].tolist()
-            for w, a, b in zip(found, [0, *ends], ends):
-                ids[w.decode()] = flat[a:b]
-        raw_bytes = {w: b"".join([token[i] for i in x]) for w, x in ids.items()}
+            flat = np.frombuffer(zlib.decompress(blob), _id_type(end))
+            ends, flat, at = np.flatnonzero(flat == end).tolist(), flat.tolist(), 0
+            for w, stop in zip(by_part[part], ends):
+                key, got = w.decode(), flat[at:stop]
+                ids[key] = got
+                raw_bytes[key] = token[got[0]] if len(got) == 1 else b"".join([token[i] for i in got])
+                at = stop + 1
         one = row(ids, raw_bytes)
         out = [one(words) for words in docs_]
         columns = list(zip(*out)) if out else [()] * (len(names) - 1)
@@ -186,15 +192,12 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes:
     (decimal, comma-joined) and of the bytes they decode to."""
 
     def row(ids, raw):
-        size = {w: len(x) for w, x in ids.items()}
         text = {w: ",".join(map(str, x)) for w, x in ids.items()}
 
         def one(words):
-            return (
-                sum([size[w] for w in words]),
-                hashlib.sha256(",".join([text[w] for w in words]).encode()).hexdigest(),
-                hashlib.sha256(b"".join([raw[w] for w in words])).hexdigest(),
-            )
+            flat = ",".join([text[w] for w in words])
+            decoded = hashlib.sha256(b"".join([raw[w] for w in words])).hexdigest()
+            return flat.count(",") + 1 if flat else 0, hashlib.sha256(flat.encode()).hexdigest(), decoded
 
         return one
 
