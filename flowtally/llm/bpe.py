@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import per_bucket, text_buckets
+from flowtally.llm.common import bucket_texts, per_bucket, text_buckets
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -137,7 +137,7 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
         token = {i: b for b, i in ranks.value.items()}  # the token-byte table
         end = max(token, default=0) + 1
         split = regex.compile(pattern).findall
-        docs_ = [split(t.decode("utf-8", "replace")) for t in texts_.column("text").to_pylist()]
+        docs_ = [split(t.decode("utf-8", "replace")) for t in bucket_texts(texts_)]
         by_part = _by_part({w.encode() for w in set().union(*docs_)}, n)
         ids: dict[str, list[int]] = {}
         raw_bytes: dict[str, bytes] = {}

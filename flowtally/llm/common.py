@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -79,12 +80,25 @@ def text_buckets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int)
     """``(bucket, doc_id, text)`` dealt into buckets of about ``bucket_bytes``
     of text, and their number.  The bucket follows from the row alone, copies
     spread by their id, and null texts become empty.  Several uses of the
-    result in one query share a single shuffle."""
+    result in one query share a single shuffle, which holds each text deflated
+    (``bucket_texts`` inflates)."""
     source = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(b"")))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2, -(-size // bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return source.select(bucket.alias("bucket"), "doc_id", "text").repartition(n, "bucket"), n
+
+    def deflate(batches):
+        for b in batches:
+            packed = [zlib.compress(t, 1) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), pa.array(packed, pa.binary())], ["bucket", "doc_id", "text"])
+
+    rows = source.select(bucket.alias("bucket"), "doc_id", "text").mapInArrow(deflate, "bucket int, doc_id long, text binary")
+    return rows.repartition(n, "bucket"), n
+
+
+def bucket_texts(rows: pa.Table | pa.RecordBatch) -> list[bytes]:
+    """Texts of rows of ``text_buckets``."""
+    return [zlib.decompress(t) for t in rows.column("text").to_pylist()]
 
 
 def per_bucket(rows: DataFrame, fn: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -94,7 +108,7 @@ def per_bucket(rows: DataFrame, fn: Callable[[int, list[bytes]], Iterator[pa.Rec
     def run(batches):
         held: dict[int, list[bytes]] = {}
         for b in batches:
-            for k, t in zip(b.column("bucket").to_pylist(), b.column("text").to_pylist()):
+            for k, t in zip(b.column("bucket").to_pylist(), bucket_texts(b)):
                 held.setdefault(k, []).append(t)
         while held:
             k, data = held.popitem()

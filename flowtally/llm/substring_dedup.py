@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowtally.llm.common import per_bucket, text_buckets
+from flowtally.llm.common import bucket_texts, per_bucket, text_buckets
 from flowtally.llm.words import constants, hash_words, in_sorted, mix, word_edges
 
 PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference set
@@ -211,7 +211,7 @@ def dedup_substrings(
     def send_windows(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _parts(0, np.zeros(0, WINDOW), np.zeros(0, np.uint64), n)
-        bucket, ids = Bucket(texts.column("text").to_pylist(), (1, 2)), _ids(texts)
+        bucket, ids = Bucket(bucket_texts(texts), (1, 2)), _ids(texts)
         elsewhere = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in shared.column("blob").to_pylist())]))
         starts = bucket.repeated_windows(window, elsewhere)
         w = np.empty(len(starts), WINDOW)
@@ -224,7 +224,7 @@ def dedup_substrings(
         return _parts(texts.column("bucket")[0].as_py(), w, w["a"], n)
 
     def remove(texts: pa.Table, later: pa.Table) -> pa.Table:
-        data = texts.column("text").to_pylist()
+        data = bucket_texts(texts)
         bucket = Bucket(data, (1, 2))
         known = np.concatenate([np.zeros(0, PAIR), *(np.frombuffer(x, PAIR) for x in later.column("blob").to_pylist())])
         gone = _removed(bucket, _ids(texts), window, known)
