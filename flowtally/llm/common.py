@@ -84,7 +84,7 @@ def text_buckets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int)
     (``bucket_texts`` inflates)."""
     source = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(b"")))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(2, -(-size // bucket_bytes))
+    n = max(16, -(-size // bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
     def deflate(batches):
