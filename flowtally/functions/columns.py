@@ -35,10 +35,12 @@ def cents(c: str | Column = "value", scale: int = 100) -> Column:
 
     For values with at most two decimals this equals casting to
     DECIMAL(18,2).  ``scale`` = 100 for cents; other powers of ten give other
-    fixed-point units.
+    fixed-point units.  NaN and infinite values are null: they count as rows
+    but add nothing to a sum and are no quantile.
     """
     x = _col(c) * F.lit(float(scale))
-    return F.when(x >= 0, F.floor(x + F.lit(0.5))).otherwise(F.ceil(x - F.lit(0.5)))
+    rounded = F.when(x >= 0, F.floor(x + F.lit(0.5))).otherwise(F.ceil(x - F.lit(0.5)))
+    return F.when(F.abs(x) < F.lit(float("inf")), rounded)  # NaN sorts above infinity
 
 
 def from_cents(total: str | Column, scale: int = 100) -> Column:
@@ -73,11 +75,19 @@ def iso_weekday(ts: str | Column = "ts") -> Column:
 
 
 def json_int(c: str | Column, key: str) -> Column:
-    """Integer under a top-level JSON key; null if the text is not JSON, the
-    key is missing, or its value is not an integer token (``2.5``, ``1e3``,
-    ``"7"`` quoted as text is accepted as 7; overflow gives null)."""
-    raw = F.get_json_object(_col(c), f"$.{key}")
-    return F.when(raw.rlike(r"^-?[0-9]+$"), raw.try_cast("int"))
+    """Integer under a top-level JSON key; null if the whole text is not one
+    JSON value, the key is missing, or its value is not an integer token
+    (``2.5``, ``1e3``; ``"7"`` quoted as text is accepted as 7; overflow gives
+    null).  The key is taken literally, dots included."""
+    if "'" in key:
+        raise ValueError("keys with a quote are not supported")
+    raw = F.get_json_object(_col(c), f"$['{key}']")
+    # The parser stops after the first value; only one whole value parses both
+    # as an array's element and as an object's member.
+    element = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"x":'), _col(c), F.lit("}")))
+    whole = element.isNotNull() & member.isNotNull()
+    return F.when(raw.rlike(r"^-?[0-9]+$") & whole, raw.try_cast("int"))
 
 
 def _band_expr(c: Column, pick: int) -> Column:

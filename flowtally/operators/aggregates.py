@@ -78,21 +78,21 @@ def category_pivot(
     ts: str = "ts",
     category: str = "event_type",
 ) -> DataFrame:
-    """Events per day with one ``n_<category>`` column per listed category.
+    """Events per day with one ``n_<category>`` column per listed category and
+    ``n_other`` for the rest (null categories included), so the columns of a
+    day add up to its events.
 
     The categories are listed by the caller so Spark does not run a separate
-    job to find them; rows of other categories are not counted.
+    job to find them.
     """
     if not categories:
         raise ValueError("list at least one category to pivot")
-    pivoted = (
-        df.groupBy(event_day(ts).alias("day"))
-        .pivot(category, list(categories))
-        .agg(F.count(F.lit(1)))
-    )
-    return pivoted.select(
-        "day",
-        *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"n_{c}") for c in categories],
+    if "other" in categories:
+        raise ValueError("n_other holds the unlisted categories; rename the category 'other'")
+    listed = F.coalesce(F.col(category).isin(list(categories)), F.lit(False))
+    return df.groupBy(event_day(ts).alias("day")).agg(
+        *[F.count_if(F.col(category) == c).alias(f"n_{c}") for c in categories],
+        F.count_if(~listed).alias("n_other"),
     )
 
 

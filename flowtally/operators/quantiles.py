@@ -69,7 +69,7 @@ def exact_quantiles(
     # instead of sharing one shuffle.
     key = F.coalesce(cents(value) + F.lit(_OFFSET), F.lit(0).cast("long")).alias("key")
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & (F.abs(F.col(value)) < F.lit(float("inf"))))  # finite values only
         # The group travels as a one-field struct: a struct is never null, so
         # the joins below match a null group like any other value.
         .select(F.struct((F.col(group) if group else F.lit(0)).alias("k")).alias("g"), key)

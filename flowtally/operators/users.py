@@ -1,8 +1,8 @@
 """Actor-centric operators: new versus active actors, cohort retention,
 top actors.
 
-Everything starts from distinct (actor, day) or (actor, week) pairs.  Those
-are deduplicated inside each scan task before the shuffle, so a single actor
+Everything starts from each actor's set of days or weeks.  The sets are
+built inside each scan task before the shuffle, so a single actor
 with a third of all rows sends at most one row per day per task.  Rows with
 a null actor are left out of every actor count.
 """
@@ -16,28 +16,27 @@ from flowtally.functions import cents, from_cents, period_start
 
 
 def _actor_periods(df: DataFrame, user: str, ts: str, grain: str, name: str) -> DataFrame:
+    """``(name, first)``: a row for each actor's distinct period, with the
+    actor's first one.  One shuffle: an actor's periods are gathered as a set,
+    which the calendar bounds and each task pre-aggregates."""
     return (
         df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
-        .select(F.col(user).alias(user), period_start(ts, grain).alias(name))
-        .distinct()
+        .groupBy(F.col(user))
+        .agg(F.collect_set(period_start(ts, grain)).alias("_periods"))
+        .select(F.array_min("_periods").alias("first"), F.explode("_periods").alias(name))
     )
 
 
 def new_and_active_users(df: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Per active day: distinct active actors, actors seen for the first time,
-    and returning actors (active minus first-time).
-
-    An actor's first day is a window minimum over that actor's distinct days,
-    a partition bounded by the calendar, so the events are scanned once.
-    """
-    first_day = F.min("day").over(Window.partitionBy(user))
+    and returning actors (active minus first-time).  The events are scanned
+    and shuffled by actor once."""
     return (
         _actor_periods(df, user, ts, "day", "day")
-        .withColumn("_first", first_day)
         .groupBy("day")
         .agg(
             F.count(F.lit(1)).alias("active_users"),
-            F.count(F.when(F.col("day") == F.col("_first"), F.lit(1))).alias("first_time_users"),
+            F.count(F.when(F.col("day") == F.col("first"), F.lit(1))).alias("first_time_users"),
         )
         .withColumn("returning_users", F.col("active_users") - F.col("first_time_users"))
     )
@@ -47,14 +46,12 @@ def weekly_retention(df: DataFrame, user: str = "user_id", ts: str = "ts") -> Da
     """Cohort table: actors first seen in ``cohort_week`` who are active
     ``week_offset`` weeks later, the cohort's size and the percentage.
 
-    The cohort of an actor is a window minimum over the actor's distinct
-    weeks; the cohort size is a window over the cohort's week offsets.  Both
-    partitions are bounded by the calendar, and the events are scanned once.
+    The cohort size is a window over the cohort's week offsets, a partition
+    bounded by the calendar; the events are scanned once.
     """
-    cohort = F.min("week").over(Window.partitionBy(user))
     counts = (
         _actor_periods(df, user, ts, "week", "week")
-        .withColumn("cohort_week", cohort)
+        .withColumnRenamed("first", "cohort_week")
         .select(
             "cohort_week",
             (F.datediff("week", "cohort_week") / F.lit(7)).cast("int").alias("week_offset"),

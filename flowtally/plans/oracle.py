@@ -96,6 +96,7 @@ SELECT event_type, n_events, CAST(vol AS DOUBLE) AS volume,
 FROM c, t""",
     "daily_category_pivot": "SELECT CAST(ts AS DATE) AS day, "
     + ", ".join(f"count(*) FILTER (WHERE event_type = '{c}') AS n_{c}" for c in PIVOT_CATEGORIES)
+    + f", count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN ({_in_list(PIVOT_CATEGORIES)})) AS n_other"
     + " FROM events GROUP BY 1",
     "cumulative_activity": f"""
 WITH {_DAILY}
@@ -161,7 +162,7 @@ FROM events GROUP BY 1, 2""",
     "json_key_counts": f"""
 SELECT CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN TRY_CAST(raw AS INTEGER) END AS key_value,
        count(*) AS n_events, {VOL} AS volume
-FROM (SELECT *, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.{JSON_KEY}') END AS raw
+FROM (SELECT *, CASE WHEN json_valid(props) THEN json_extract_string(props, '$."{JSON_KEY}"') END AS raw
       FROM events)
 GROUP BY 1""",
     "weekly_retention": f"""

@@ -37,12 +37,17 @@ from flowtally.sources.tables import TABLE_SCHEMAS
 
 
 def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """The streaming aggregation (update-mode compatible)."""
-    return (
+    """The streaming aggregation (update-mode compatible).  Rows that repeat an
+    ``event_id`` within the watermark count once; rows without an id are all
+    counted.  Rows without ``ts`` belong to no day and are left out."""
+    timed = (
         stream.where(F.col("ts").isNotNull())
         .withColumn("event_time", F.col("ts").cast("timestamp"))
         .withWatermark("event_time", watermark)
-        .dropDuplicatesWithinWatermark(["event_id"])
+    )
+    once = timed.where(F.col("event_id").isNotNull()).dropDuplicatesWithinWatermark(["event_id"])
+    return (
+        once.unionByName(timed.where(F.col("event_id").isNull()))
         .groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n_events"), F.sum(cents("value")).alias("_vol"))
         .select(
@@ -60,8 +65,10 @@ _RESULT_SCHEMA = "day date, event_type string, n_events bigint, volume double, b
 def _read_result(spark: SparkSession, out_dir: str) -> DataFrame | None:
     try:
         return spark.read.parquet(out_dir)
-    except AnalysisException:  # no micro-batch has written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None  # no micro-batch has written yet
+        raise
 
 
 def _merge_writer(out_dir: str):
@@ -84,8 +91,9 @@ def _merge(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     updates = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
     existing = _read_result(spark, out_dir)
     if existing is not None:
-        touched = updates.select("day").distinct()
-        prior = existing.join(touched, "day", "left_semi").select(*updates.columns)
+        # the touched days as literals (one per day of the batch) prune the read
+        touched = [r.day for r in batch.select("day").distinct().collect()]
+        prior = existing.where(F.col("day").isin(touched)).select(*updates.columns)
         updates = prior.unionByName(updates)
     newest = F.max_by(F.struct("n_events", "volume", "batch_id"), "batch_id")
     merged = (
@@ -149,8 +157,8 @@ def run_daily_counts(
     reader = spark.readStream.schema(static.schema)
     source = source.rstrip("/")
     name = source.rsplit("/", 1)[-1]
-    files = static.inputFiles()
-    if len(files) == 1 and files[0].rstrip("/").endswith("/" + name):
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
         # ``source`` is a single file, but the file source watches folders:
         # watch its folder, admitting only files with this name.
         reader = reader.option("pathGlobFilter", name)

@@ -125,3 +125,35 @@ def test_warehouse_reader_checks_partitioning_arguments(spark):
 
     with pytest.raises(ValueError):
         read_warehouse_query(spark, "jdbc:none://nowhere", "SELECT 1", partition_column="id")
+
+
+def test_json_int_reads_whole_texts_and_literal_keys(spark):
+    from flowtally.functions import json_int
+
+    cases = {
+        '{"k": 7} trailing': None, '{"k":7}{"k":8}': None, "{'k': 7}": None, '{"k":7}][{}': None, '{"k":7}}{': None,
+        '{"k":7},"y":1': None, '{"k": 7} ': 7, '{"k":"7"}': 7, '{"k":2.5}': None, "[1]": None, "": None,
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r.p: r.v for r in df.select("p", json_int("p", "k").alias("v")).collect()} == cases
+    dotted = spark.createDataFrame([('{"a":{"b":6},"a.b":5}',)], "p string")
+    assert dotted.select(json_int("p", "a.b")).first()[0] == 5
+
+
+def test_non_finite_amounts_add_nothing(spark):
+    from flowtally.functions import exact_sum
+    from flowtally.operators import exact_quantiles
+
+    rows = [("g", x) for x in (10.0, float("nan"), float("inf"), float("-inf"), None, -2.5)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    assert df.agg(exact_sum("value")).first()[0] == 7.5
+    got = exact_quantiles(df, group="g", value="value", probs=[0.0, 0.5, 1.0]).first().asDict()
+    assert sorted(v for v in got.values() if isinstance(v, float)) == [-2.5, 3.75, 10.0]
+
+
+def test_pivot_columns_add_up(spark):
+    from flowtally import operators as ops
+
+    rows = [("2024-01-01 01:00:00", c) for c in ("a", "a", "x", None, "b")]
+    df = spark.createDataFrame(rows, "t string, event_type string").selectExpr("CAST(t AS TIMESTAMP_NTZ) ts", "event_type")
+    assert ops.category_pivot(df, ["a", "b"]).select("n_a", "n_b", "n_other").first() == (2, 1, 2)

@@ -6,15 +6,17 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from flowtally.plans import ORACLE_SQL, QUERIES
 from tests.conftest import SF0001
 from tests.oracle_check import compare, duck_connect
 
-NAMES = sorted(contract.queries())
+NAMES = sorted(QUERIES)
 EVENT_ONLY = [n for n in NAMES if n != "nation_flows"]
 
 
 def test_contract_keys_match():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL) and set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_smoke(spark):

@@ -8,6 +8,7 @@ import io
 import pytest
 
 import __spark_entry__ as contract
+from flowtally.plans import QUERIES
 from tests.conftest import SF001
 
 
@@ -18,7 +19,7 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-BATCH = sorted(n for n in contract.queries() if n != "streaming_daily_counts")
+BATCH = sorted(n for n in QUERIES if n != "streaming_daily_counts")
 
 
 @pytest.mark.parametrize("name", BATCH)

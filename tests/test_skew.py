@@ -10,10 +10,11 @@ import tempfile
 import pytest
 
 import __spark_entry__ as contract
+from flowtally.plans import QUERIES
 from tests.fixtures import split_into_files, skewed_event_rows, write_events, write_skewed_flow_tables
 from tests.oracle_check import compare, duck_connect
 
-EVENT_QUERIES = sorted(n for n in contract.queries() if n != "nation_flows")
+EVENT_QUERIES = sorted(n for n in QUERIES if n != "nation_flows")
 
 
 @pytest.fixture(scope="module")

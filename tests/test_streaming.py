@@ -124,3 +124,45 @@ def test_rocksdb_state_store(spark, fixture_dir):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got[("2024-01-05", "purchase")] == (12, 60.0)
+
+
+def test_rows_without_id_all_count(spark, tmp_path):
+    from flowtally.streaming import daily_counts
+
+    rows = [(None, 1.0), (None, 1.0), (None, 1.0), (5, 1.0), (5, 1.0)]
+    events = spark.createDataFrame(rows, "event_id long, value double").selectExpr(
+        "event_id", "TIMESTAMP_NTZ '2024-03-20 01:00:00' AS ts", "1L AS user_id", "'a' AS event_type", "value", "'{}' AS props"
+    )
+    events.write.parquet(str(tmp_path / "in"))
+    got = daily_counts.run_daily_counts(spark, str(tmp_path / "in")).collect()
+    assert [(r.n_events, r.volume) for r in got] == [(4, 4.0)]
+
+
+def test_merge_reads_only_the_touched_days(spark, tmp_path):
+    from flowtally.streaming import daily_counts
+
+    out = str(tmp_path / "out")
+    first = spark.sql("SELECT * FROM VALUES (DATE'2024-01-01', 'a', 1L, 1.0D), (DATE'2024-01-02', 'b', 1L, 1.0D) t(day, event_type, n_events, volume)")
+    daily_counts._merge(first, 0, out)
+    daily_counts._merge(first.where("event_type = 'a'").withColumn("n_events", first.n_events + 4), 1, out)
+    assert sorted((str(r.day), r.n_events) for r in daily_counts.current_table(spark, out).collect()) == [("2024-01-01", 5), ("2024-01-02", 1)]
+    pruned = spark.read.parquet(out).where("day IN (DATE'2024-01-01')")._jdf.queryExecution().executedPlan().toString()
+    assert "2024" in pruned.split("PartitionFilters")[1].split("PushedFilters")[0] or "19723" in pruned
+
+
+def test_other_read_errors_are_raised(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from flowtally.streaming import daily_counts
+
+    class Reader:
+        def parquet(self, path):
+            return spark.sql("SELECT no_such_column")
+
+    class Session:
+        read = Reader()
+
+    assert daily_counts._read_result(spark, str(tmp_path / "missing")) is None
+    with pytest.raises(AnalysisException):
+        daily_counts._read_result(Session(), "x")
