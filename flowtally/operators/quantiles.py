@@ -3,24 +3,20 @@
 
 Spark's ``percentile`` aggregate is exact, but it merges one value->count map
 per group in a single task, so a group holding a third of the rows (and most
-of the distinct values) must fit one executor's memory.  Here the k-th
-smallest value of a group is found by radix selection over the value's
-integer key instead:
-
-* values are amounts with two decimals, so ``key = cents + 2^62`` is a
-  non-negative 63-bit integer with the same order;
-* three passes each read a 21-bit digit of the key: count rows per
-  (group, fixed higher digits, digit), run a running count over at most 2^21
-  digits, and for each target rank keep the digit whose running count
-  covers it;
-* after the third pass the key, hence the value, is known exactly.
-
-Every pass is a join of the (group, key) counts with the small table of open
-targets followed by a partially aggregated hash aggregation, and every window
-partition has at most 2^21 rows (one per digit), whatever the size or skew
-of the data (the window operator spills past its memory threshold).  The
-(group, key) counts are computed once and their shuffle is reused by all
-three passes.
+of the distinct values) must fit one executor's memory.  Here the values are
+sorted across the cluster instead:
+
+* equal values of a group are counted (map-side first), and the (group, value)
+  counts are range partitioned: each partition is a *piece* of that order, and
+  a hot group lies in many pieces, because its counts are all different rows;
+* each piece's total per group gives, by a running sum over at most one row per
+  partition, how many values of the group lie in earlier pieces;
+* only the pieces that hold a wanted rank are read again: a running count
+  inside the piece finds the value.
+
+The counts are checkpointed with their piece number in the shared folder, so a
+task recomputed after a lost executor finds the same pieces.  This happens when
+the function is called; the lookups run with the result.
 """
 
 from __future__ import annotations
@@ -28,15 +24,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtally.functions import cents
-
-_DIGIT_BITS = 21
-_SHIFTS = (42, 21, 0)
-_OFFSET = 1 << 62
-_MASK = (1 << _DIGIT_BITS) - 1
+from flowtally.session import shared_dir
 
 
 def _prob_label(p: float) -> str:
@@ -46,6 +37,34 @@ def _prob_label(p: float) -> str:
     return "p" + pct.replace(".", "_")
 
 
+def _sorted_pieces(df: DataFrame, group: str | None, value: str) -> DataFrame:
+    """``(g, v, c, piece)``: how often each finite value of a group occurs, in
+    range partitions numbered in the order of (g, v)."""
+    v = F.col(value).cast("double")
+    counts = (
+        df.where(F.abs(v) < F.lit(float("inf")))  # neither null, NaN nor infinite
+        # The group travels as a one-field struct: a struct is never null, so
+        # the join below matches a null group like any other value.
+        .select(F.struct((F.col(group) if group else F.lit(0)).alias("k")).alias("g"), v.alias("v"))
+        .groupBy("g", "v")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    shared_dir(df.sparkSession)
+    return counts.repartitionByRange("g", "v").withColumn("piece", F.spark_partition_id()).checkpoint()
+
+
+def _between(lo: Column, hi: Column, frac: Column) -> Column:
+    """lo + (hi - lo) * frac, in exact decimals for amounts of up to six
+    decimals (rounded to DOUBLE once), else in DOUBLE."""
+
+    def exact(x: Column) -> Column:
+        return x.try_cast("decimal(22,6)")
+
+    in_decimals = (exact(lo) + (exact(hi) - exact(lo)) * frac).cast("double")
+    fits = (exact(lo).cast("double") == lo) & (exact(hi).cast("double") == hi)
+    return F.when(fits, in_decimals).otherwise(lo + (hi - lo) * frac.cast("double"))
+
+
 def exact_quantiles(
     df: DataFrame,
     group: str | None,
@@ -53,110 +72,58 @@ def exact_quantiles(
     probs: Sequence[float] = (0.25, 0.5, 0.75, 0.95),
 ) -> DataFrame:
     """One row per group: ``n_values`` and one column per probability
-    (``p50`` for 0.5, ``p99_9`` for 0.999), null values ignored.  With
+    (``p50`` for 0.5, ``p99_9`` for 0.999).  Values are taken as DOUBLE, not
+    rounded; null, NaN and infinite values are ignored, and a group without
+    others has no row.  Probabilities have at most eight decimals.  With
     ``group=None`` the quantiles are taken over all rows (one output row, no
-    group column); the passes stay bounded the same way."""
+    group column)."""
     probs = list(probs)
     if not probs or any(not 0.0 <= p <= 1.0 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     if len({_prob_label(p) for p in probs}) != len(probs):
         raise ValueError("probabilities must be distinct")
-
-    # ``key`` is declared non-null (values are filtered to non-null first):
-    # otherwise each pass's join would add an inferred IsNotNull filter that
-    # Catalyst pushes below the counts aggregation, the copies of
-    # ``counts`` would differ, and the table would be scanned once per pass
-    # instead of sharing one shuffle.
-    key = F.coalesce(cents(value) + F.lit(_OFFSET), F.lit(0).cast("long")).alias("key")
-    counts = (
-        df.where(F.col(value).isNotNull() & (F.abs(F.col(value)) < F.lit(float("inf"))))  # finite values only
-        # The group travels as a one-field struct: a struct is never null, so
-        # the joins below match a null group like any other value.
-        .select(F.struct((F.col(group) if group else F.lit(0)).alias("k")).alias("g"), key)
-        .groupBy("g", "key")
-        .agg(F.count(F.lit(1)).alias("c"))
+    if any(Decimal(str(p)) != round(Decimal(str(p)), 8) for p in probs):
+        raise ValueError("probabilities must have at most eight decimals")
+
+    pieces = _sorted_pieces(df, group, value)
+    # Position h = (n - 1) * p in exact DECIMAL; side 0 wants rank floor(h),
+    # side 1 rank ceil(h).
+    of_group = Window.partitionBy("g")
+    totals = (
+        pieces.groupBy("g", "piece")
+        .agg(F.sum("c").alias("m"))
+        .withColumn("n", F.sum("m").over(of_group))
+        .withColumn("before", F.sum("m").over(of_group.orderBy("piece")) - F.col("m"))
     )
 
-    # One target per (group, probability, side): position h = (n - 1) * p in
-    # exact DECIMAL, side 0 wants rank floor(h), side 1 rank ceil(h); the
-    # result is v[floor h] + (v[ceil h] - v[floor h]) * (h - floor h).
-    prob_arr = F.array(*[F.lit(Decimal(str(p))).cast("decimal(9,8)") for p in probs])
-    h = (F.col("n") - 1).cast("decimal(20,0)") * F.col("p")
-    targets = (
-        counts.groupBy("g")
-        .agg(F.sum("c").alias("n"))
-        .select("g", "n", F.posexplode(prob_arr).alias("pi", "p"))
-        .select(
-            "g",
-            "pi",
-            (h - F.floor(h)).alias("frac"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("side"), F.floor(h).cast("long").alias("rem")),
-                    F.struct(F.lit(1).alias("side"), F.ceil(h).cast("long").alias("rem")),
-                )
-            ).alias("t"),
-            "n",
-        )
-        .select("g", F.lit(0).cast("long").alias("prefix"), "n", "pi", "frac", "t.side", "t.rem")
+    def ranks(i: int, p: float) -> list[Column]:
+        h = (F.col("n") - 1).cast("decimal(20,0)") * F.lit(Decimal(str(p))).cast("decimal(9,8)")
+        frac = (h - F.floor(h)).cast("decimal(9,8)").alias("frac")
+        at = (F.floor(h), F.ceil(h))
+        return [F.struct(F.lit(i).alias("pi"), F.lit(side).alias("side"), at[side].cast("long").alias("rank"), frac) for side in (0, 1)]
+
+    wanted = F.array(*(r for i, p in enumerate(probs) for r in ranks(i, p)))
+    inside = F.filter(wanted, lambda t: (t["rank"] >= F.col("before")) & (t["rank"] < F.col("before") + F.col("m")))
+    targets = totals.select("g", "piece", "n", "before", inside.alias("ts")).where(F.size("ts") > 0)
+
+    # A piece of a group is one range partition at most, and a row of
+    # ``targets`` has at most two ranks per probability.
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "piece").orderBy("v"))
+    found = (
+        pieces.join(targets, ["g", "piece"])
+        .withColumn("upto", upto)
+        .select("g", "n", "v", F.explode(F.filter("ts", lambda t: (t["rank"] >= F.col("upto") - F.col("c")) & (t["rank"] < F.col("upto")))).alias("t"))
     )
-
-    for i, shift in enumerate(_SHIFTS):
-        digit = F.shiftright("key", shift).bitwiseAND(F.lit(_MASK)).alias("d")
-        prefix = (F.lit(0).cast("long") if i == 0 else F.shiftright("key", shift + _DIGIT_BITS)).alias("prefix")
-        # Targets still open under each (group, prefix), as one short array
-        # (at most 2 * len(probs) entries); the table is referenced once per
-        # pass, so the plan grows linearly with the number of passes.  The
-        # array is sorted: it is part of a grouping key below, and a
-        # recomputed task (lost executor) must rebuild the same key.
-        open_targets = targets.groupBy("g", "prefix").agg(
-            F.array_sort(F.collect_list(F.struct("pi", "side", "n", "frac", "rem"))).alias("ts")
-        )
-        hist = (
-            counts.select("g", prefix, digit, "c")
-            .join(open_targets, ["g", "prefix"])
-            .groupBy("g", "prefix", "ts", "d")
-            .agg(F.sum("c").alias("cnt"))
-        )
-        # The running count is the same for every target under a (group,
-        # prefix), so it is computed once per prefix, before the targets are
-        # unpacked.
-        running = Window.partitionBy("g", "prefix").orderBy("d").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        targets = (
-            hist.withColumn("upto", F.sum("cnt").over(running))
-            .select("g", "prefix", "d", "cnt", "upto", F.explode("ts").alias("t"))
-            .where((F.col("upto") - F.col("cnt") <= F.col("t.rem")) & (F.col("t.rem") < F.col("upto")))
-            .select(
-                "g",
-                F.shiftleft("prefix", _DIGIT_BITS).bitwiseOR(F.col("d")).alias("prefix"),
-                "t.n",
-                "t.pi",
-                "t.frac",
-                "t.side",
-                (F.col("t.rem") - (F.col("upto") - F.col("cnt"))).alias("rem"),
-            )
-        )
-
-    # After the last pass the prefix is the whole key of the wanted value.
-    v = ((F.col("prefix") - F.lit(_OFFSET)).cast("decimal(20,0)") / F.lit(100)).cast("decimal(20,2)")
-    out_key = group or "_all"
-    per_group = targets.groupBy(F.col("g.k").alias(out_key)).agg(
+    per_group = found.groupBy(F.col("g.k").alias(group or "_all")).agg(
         F.max("n").alias("n_values"),
         *[
-            F.max(F.when((F.col("pi") == i) & (F.col("side") == side), col)).alias(f"_{name}{i}")
+            F.max(F.when((F.col("t.pi") == i) & (F.col("t.side") == side), F.col(col))).alias(f"_{name}{i}")
             for i in range(len(probs))
-            for side, col, name in ((0, v, "lo"), (1, v, "hi"), (0, F.col("frac"), "fr"))
+            for side, col, name in ((0, "v", "lo"), (1, "v", "hi"), (0, "t.frac", "fr"))
         ],
     )
     return per_group.select(
         *([group] if group else []),
         "n_values",
-        *[
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))
-            .cast("double")
-            .alias(_prob_label(p))
-            for i, p in enumerate(probs)
-        ],
+        *[_between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")).alias(_prob_label(p)) for i, p in enumerate(probs)],
     )

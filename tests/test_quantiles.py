@@ -1,6 +1,6 @@
-"""Radix-select quantiles against a brute-force exact computation, with
-values spread over all three 21-bit digits of the key, negatives, duplicates, a
-group holding most rows, tiny groups and a null group."""
+"""Exact quantiles against a brute-force exact computation, with values of many
+magnitudes, negatives, duplicates, a group holding most rows, tiny groups and a
+null group."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowtally.operators import exact_quantiles
 
@@ -92,3 +93,45 @@ def test_global_quantiles(spark, data):
     assert rows[0]["n_values"] == want["n_values"]
     for p in PROBS:
         assert rows[0][_prob_label(p)] == want[p], p
+
+
+def test_values_are_not_rounded_and_non_finite_ones_ignored(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 0.001), ("a", 0.004), ("a", 0.0049), ("a", nan), ("a", inf), ("a", -inf), ("a", None), ("b", nan)]
+    rows += [("c", 1e-9), ("c", 3e-9), ("d", 1e300), ("d", -1e300), ("d", 5.0)]
+    got = {r.g: (r.n_values, r.p50) for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (0.5,)).collect()}
+    assert got == {"a": (3, 0.004), "c": (2, 1e-9 + (3e-9 - 1e-9) * 0.5), "d": (3, 5.0)}
+
+
+def test_rejects_too_many_decimals(spark):
+    with pytest.raises(ValueError):
+        exact_quantiles(spark.createDataFrame([("a", 1.0)], "g string, v double"), "g", "v", (0.123456789,))
+
+
+def test_empty_table(spark):
+    assert exact_quantiles(spark.createDataFrame([], "g string, v double"), "g", "v", (0.5,)).collect() == []
+
+
+def test_hot_group_lies_in_many_pieces(spark):
+    """No task holds a group: with one hot group of close values, each piece
+    holds a small share, pieces follow the order of the values, and only pieces
+    with a wanted rank reach the window (broadcasts off)."""
+    from flowtally.operators.quantiles import _sorted_pieces
+
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in zip(keys, ("false", "-1", "-1")):
+            spark.conf.set(k, v)
+        df = spark.range(40_000).selectExpr("if(id % 10 = 0, 'cold', 'hot') AS g", "100 + id / 1000 AS v")
+        pieces = _sorted_pieces(df, "g", "v").groupBy("g.k", "piece").agg({"v": "min", "*": "count"}).collect()
+        hot = sorted((r.piece, r["min(v)"], r["count(1)"]) for r in pieces if r.k == "hot")
+        assert len(hot) >= 6 and max(n for *_, n in hot) < 36_000 / 3
+        assert [v for _, v, _ in hot] == sorted(v for _, v, _ in hot)
+        q = df.groupBy("g").agg(*[F.percentile("v", p).alias(f"q{i}") for i, p in enumerate((0.1, 0.5, 0.95))])
+        want = {r.g: (r.q0, r.q1, r.q2) for r in q.collect()}
+        got = {r.g: (r.p10, r.p50, r.p95) for r in exact_quantiles(df, "g", "v", (0.1, 0.5, 0.95)).collect()}
+        assert {g: pytest.approx(v, rel=1e-12) for g, v in want.items()} == got
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
