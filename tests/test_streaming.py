@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import warnings
 
+import pytest
+from pyspark.sql import functions as F
+
+from flowtally.functions import exact_sum
 from flowtally.session import unique_dir
 from flowtally.streaming import run_daily_counts
+from flowtally.streaming.daily_counts import LateRowsWarning
 from tests.fixtures import T, write_events
 
 
@@ -68,10 +74,14 @@ def test_late_rows_and_duplicates(spark):
 
 
 def test_single_file_source_matches_batch(spark, fixture_dir):
-    from flowtally.operators import activity_by_period  # noqa: F401  (import check)
-
-    df = run_daily_counts(spark, os.path.join(fixture_dir, "events.parquet"))
-    got = _result(df)
+    path = os.path.join(fixture_dir, "events.parquet")
+    got = _result(run_daily_counts(spark, path))
+    batch = (
+        spark.read.parquet(path).where("ts IS NOT NULL")
+        .groupBy(F.to_date("ts").alias("day"), "event_type")
+        .agg(F.count("*").alias("n_events"), exact_sum("value").alias("volume"))
+    )
+    assert got == _result(batch)
     assert got[("2024-01-05", "purchase")] == (12, 60.0)
     assert ("2024-02-01", "purchase") in got and ("2024-01-31", "purchase") in got
 
@@ -166,3 +176,22 @@ def test_other_read_errors_are_raised(spark, tmp_path):
     assert daily_counts._read_result(spark, str(tmp_path / "missing")) is None
     with pytest.raises(AnalysisException):
         daily_counts._read_result(Session(), "x")
+
+
+def test_late_rows_are_reported(spark):
+    """Files out of time order: one batch counts every row, one file per batch
+    drops the late ones and says how many; in time order none is dropped."""
+
+    def run(days, per_trigger):
+        src = tempfile.mkdtemp(prefix="flowtally-stream-src-")
+        for i, day in enumerate(days):
+            _write(src, f"{i}.parquet", [(i, T(f"2024-03-{day} 10:00:00"), 1, "click", 1.00, None)], 1_700_000_000 + 10 * i)
+        return _result(run_daily_counts(spark, src, max_files_per_trigger=per_trigger))
+
+    out_of_order = ("20", "21", "05", "06")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", LateRowsWarning)
+        assert len(run(out_of_order, None)) == 4
+        assert len(run(sorted(out_of_order), 1)) == 4
+    with pytest.warns(LateRowsWarning, match="^2 rows"):
+        assert len(run(out_of_order, 1)) == 2
