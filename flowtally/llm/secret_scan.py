@@ -47,6 +47,8 @@ ALPHABETS = (
 LENGTHS = (20, 28, 40, 56, 80)  # lower ends of the length classes
 CUTS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+CHUNK = 256  # matches walked before they are appended to the rest
+PAGE = 512  # code points of a text that are cut out together
 
 
 def _spans(text: Column, maybe: str, pattern: str, group: int, least: int, kind: int, keep_text: bool = False) -> Column:
@@ -57,18 +59,44 @@ def _spans(text: Column, maybe: str, pattern: str, group: int, least: int, kind:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     steps = F.arrays_zip(F.split(text, pattern, -1), hits, value)
     kind_type = SPAN if not keep_text else "array<struct<start:int,kind:int,end:int,token:string>>"
+    none = F.array().cast(kind_type)
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["0"])
+    def step(at, x):
+        start = at + F.char_length(x["0"])
         end = start + F.coalesce(F.char_length(x["1"]), F.lit(0))
         fields = [start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")]
         found = F.array(F.struct(*fields, *([x["1"].alias("token")] if keep_text else [])))
-        kept = F.coalesce(F.char_length(x["2"]) >= least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        return end, F.when(F.coalesce(F.char_length(x["2"]) >= least, F.lit(False)), found).otherwise(none)
 
-    none = F.array().cast(kind_type)
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(maybe), walked).otherwise(none)
+    return F.when(text.rlike(maybe), _walk(steps, kind_type, step, lambda at, out: out)).otherwise(none)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _walk(items: Column, kind: str, step, finish) -> Column:
+    """Walks over ``items`` with a position: ``step(at, x)`` gives the next
+    position and an array of type ``kind``; ``finish(at, all arrays joined)`` is
+    the result.  Arrays are appended within chunks and chunks to each other, so
+    a text with very many matches is not copied once per match."""
+    none = F.array().cast(kind)
+
+    def one(acc, x):
+        at, found = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], found).alias("out"))
+
+    def walked(v):
+        def chunk(acc, k):
+            join = lambda c: F.struct(c["at"].alias("at"), F.concat(acc["out"], F.array(c["out"])).alias("out"))
+            return F.aggregate(F.slice(v, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), one, join)
+
+        chunks = F.sequence(F.lit(0), ((F.size(v) - 1) / CHUNK).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(chunks, start, chunk, lambda acc: finish(acc["at"], F.flatten(acc["out"])))
+
+    return _bound(items, walked)
 
 
 # Upper tail of the normal distribution (the usual five-term polynomial, error
@@ -212,15 +240,20 @@ def redact_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", m
     cuts = _cut_offs(write_table(scanned.select("__tokens").where(F.size("__tokens") > 0), "secrets"), fdr)
     text = F.col(f"`{text_col}`")
 
-    def step(acc, x):
-        covered = x["start"] < acc["at"]
-        between = F.concat(text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"),
-            F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], between)).alias("out"),
-        )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.char_length(text))))
+    def clean(pages):
+        def cut(start, end=None):
+            page = lambda at: (at / PAGE).cast("int")
+            count = F.size(pages) if end is None else page(end) - page(start) + 1
+            near = F.array_join(F.slice(pages, page(start) + 1, count), "")
+            return near.substr(start % PAGE + 1, F.char_length(near) if end is None else end - start)
+
+        def step(at, x):
+            pieces = F.array(cut(at, x["start"]), F.lit(mark))
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, pieces).otherwise(F.array().cast("array<string>"))
+
+        return _walk(F.col("__spans"), "array<string>", step, lambda at, out: F.concat(F.array_join(out, ""), cut(at)))
+
+    clean_text = _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)), clean)
     out = scanned.withColumn("__spans", _reported(cuts))
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).select(*(f"`{c}`" for c in docs.columns))
+    return out.withColumn(text_col, F.when(F.size("__spans") > 0, clean_text).otherwise(text)).select(*(f"`{c}`" for c in docs.columns))

@@ -147,6 +147,29 @@ def test_redaction(make_docs):
     assert all(r[1:4] == (0, 0, 0) for r in again)
 
 
+def test_secrets_in_a_long_text(make_docs):
+    """More matches than are walked at once, and pieces over page borders."""
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([15, 16, 40]))) for _ in range(900)]
+    fill = lambda: rng.choice(["", "é😀" * rng.randint(1, 4), "wort " * rng.randint(1, 300)])
+    text = "".join(f"{fill()} {'token=' if i % 3 == 0 else ''}{h} " for i, h in enumerate(hexes))
+    # ends of the text and pages: a secret first, last, and on exact page borders
+    page = secret_scan.PAGE
+    edges = ["deadbeefdeadbeef", "deadbeefdeadbeef" + "g" * (page - 16), "g" * (page - 8) + "deadbeefdeadbeef" + "g" * (page - 8), "😀" * page + "deadbeefdeadbeef"]
+    docs = [(1, text), (2, "x"), (3, None), *((10 + i, t) for i, t in enumerate(edges))]
+    got = secret_scan.secret_scan(make_docs(docs)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(brute.op5_base(docs)[0], key=str)
+    spans = {r.doc_id: sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s) for r in got}
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(make_docs(docs)).collect()}
+    for doc, t in docs:
+        want, at = "", 0
+        for a, b in spans[doc]:
+            if a >= at:
+                want += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert clean[doc] == (None if t is None else want + t[at:])
+
+
 # --- byte-level BPE
 
 
