@@ -172,7 +172,7 @@ def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    block_bytes: int = 32 << 20,
+    block_bytes: int = 4 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -203,7 +203,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs``, unchanged, in which no word is hit."""
     for searcher in _searchers(benchmark, window, block_bytes):
         docs = filter_by_text(docs, lambda data, s=searcher: [not spans for spans, _ in s.hits([words_of(t) for t in data])])

@@ -186,8 +186,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> T
     train = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     train = train.select("doc_id", "toxic", F.lit("").alias("text")).distinct()
     sample = labelled_sample(train, per_label, "toxic", "doc_id").select("doc_id", "toxic")
-    # the sample has 2 x per_label rows at most, whatever the tables
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").collect()
+    # the sample has 2 x per_label rows at most, whatever the tables; of rows
+    # that repeat a doc_id one text is taken
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))

@@ -86,3 +86,11 @@ def test_models_without_training_rows(spark, make_docs):
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     model = langid.ByteTagger(["a", "b"])
     assert [r.lang_pred == "und" for r in sorted(langid.predict_language(docs, model).collect())] == [True, True, True, False]
+
+
+def test_repeated_documents_train_once(spark, make_docs):
+    """Rows that repeat a doc_id do not swell the training sample."""
+    docs = [(i, f"wort {i} " + ("vileword" if i % 2 else "nett")) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once, often = (toxicity.fit_toxicity(make_docs(d), labels) for d in (docs, docs + [docs[3]] * 200))
+    assert np.array_equal(once.weight, often.weight) and once.bias == often.bias
