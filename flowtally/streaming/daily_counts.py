@@ -15,14 +15,16 @@ micro-batch updates the per-(day, category) state.
 * A repeated ``event_id`` inside the watermark is counted once
   (``dropDuplicatesWithinWatermark``).
 * Output mode is update: every micro-batch emits the (day, category) rows it
-  changed.  ``foreachBatch`` merges them into the result table, which is
-  partitioned by day and holds one row per (day, category): the rows of the
-  days the batch touched are read back (partition pruning keeps the read to
-  those days), the newest row per key wins (by batch id), the merged rows are
-  checkpointed to the shared checkpoint folder, and only those day
-  partitions are replaced (dynamic partition overwrite).  A retried batch
-  produces the same rows again, so retries never duplicate; the table does
-  not grow with the number of batches, and readers need no deduplication.
+  changed.  ``foreachBatch`` merges them into the result folder, which holds
+  versions of whole days (``day=.../batch_id=...``): for the days a batch
+  touched, the rows of their newest version before this batch are read
+  (partition pruning keeps the read to those days), the batch's rows replace
+  those of the same category, and the result is written as this batch's version
+  of the day.  Nothing that is read is ever overwritten, so a batch that dies
+  half-way is simply written again from the same older versions; readers take
+  the newest version of each day.  The version before is kept (a retry starts
+  from it), older ones are deleted, so the folder does not grow with the
+  number of batches.
   Progress and state live in the stream's checkpoint folder, so a restarted
   query (after a lost driver or executors) resumes where it stopped.
 """
@@ -32,11 +34,11 @@ from __future__ import annotations
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions import cents, from_cents
-from flowtally.session import shared_dir, unique_dir
+from flowtally.session import unique_dir
 from flowtally.sources.tables import TABLE_SCHEMAS
 
 
@@ -63,18 +65,26 @@ def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFram
     )
 
 
-_RESULT_SCHEMA = "day date, event_type string, n_events bigint, volume double, batch_id bigint"
+_RESULT_SCHEMA = "event_type string, n_events bigint, volume double, day date, batch_id bigint"
 
 
 def _read_result(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """All stored versions."""
     try:
-        return spark.read.parquet(out_dir)
+        return spark.read.schema(_RESULT_SCHEMA).parquet(out_dir)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None  # no micro-batch has written yet
         raise
 
 
+def _newest(versions: DataFrame) -> DataFrame:
+    """Rows of each day's newest version (two versions of a day are kept, so a
+    window holds a few rows per category)."""
+    last = F.max("batch_id").over(Window.partitionBy("day"))
+    return versions.withColumn("_last", last).where("batch_id = _last").drop("_last")
+
+
 def _merge_writer(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # The micro-batch is computed once (the stateful operators run once),
@@ -93,31 +103,38 @@ def _merge_writer(out_dir: str):
 def _merge(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     spark = batch.sparkSession
     updates = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+    # the touched days as literals (one per day of the batch) prune the read
+    touched = [r.day for r in batch.select("day").distinct().collect()]
     existing = _read_result(spark, out_dir)
     if existing is not None:
-        # the touched days as literals (one per day of the batch) prune the read
-        touched = [r.day for r in batch.select("day").distinct().collect()]
-        prior = existing.where(F.col("day").isin(touched)).select(*updates.columns)
-        updates = prior.unionByName(updates)
-    newest = F.max_by(F.struct("n_events", "volume", "batch_id"), "batch_id")
-    merged = (
+        prior = _newest(existing.where(F.col("day").isin(touched) & (F.col("batch_id") < batch_id)))
+        updates = prior.select(*updates.columns).unionByName(updates)
+    newest = F.max_by(F.struct("n_events", "volume"), "batch_id")
+    (
         # one task per day: the aggregation below keeps this partitioning
-        # and each day partition is written as one file
+        # and each version of a day is written as one file
         updates.repartition("day")
         .groupBy("day", "event_type")
         .agg(newest.alias("r"))
-        .select("day", "event_type", "r.n_events", "r.volume", "r.batch_id")
-    )
-    if existing is not None:
-        # Written to the shared checkpoint folder first: the write below then
-        # no longer reads the partitions it replaces.
-        merged = merged.checkpoint()
-    (
-        merged.write.mode("overwrite")
+        .select("day", "event_type", "r.n_events", "r.volume", F.lit(batch_id).cast("long").alias("batch_id"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy("day", "batch_id")
         .parquet(out_dir)
     )
+    _drop_old_versions(spark, [f"{out_dir}/day={day}" for day in touched], batch_id)
+
+
+def _drop_old_versions(spark: SparkSession, days: list[str], batch_id: int) -> None:
+    """Of each day folder, deletes the versions older than the one before
+    ``batch_id``."""
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(day)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        older = sorted(n for n in (int(x.split("=")[1]) for x in names if x.startswith("batch_id=")) if n < batch_id)
+        for n in older[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={n}"), True)
 
 
 def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -125,7 +142,7 @@ def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
     rows = _read_result(spark, out_dir)
     if rows is None:
         rows = spark.createDataFrame([], _RESULT_SCHEMA)
-    return rows.select("day", "event_type", "n_events", "volume")
+    return _newest(rows).select("day", "event_type", "n_events", "volume")
 
 
 class LateRowsWarning(UserWarning):
@@ -170,7 +187,6 @@ def run_daily_counts(
     """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         raise ValueError("streaming_daily_counts needs spark.sql.session.timeZone=UTC")
-    shared_dir(spark)  # the merge step checkpoints: make sure a folder is set
     out_dir = out_dir or unique_dir(spark, "stream-out")
     checkpoint_dir = checkpoint_dir or unique_dir(spark, "stream-checkpoint")
     static = (spark.read.schema(schema) if schema else spark.read).parquet(source)
