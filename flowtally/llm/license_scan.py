@@ -9,11 +9,13 @@ phrase is anchored at its word of highest IDF: every place of that word gives
 one possible start, and the other words' positions are intersected with it, so
 all places are found.  A longer template collects votes: each occurrence of one
 of its rare words (the words of highest IDF that make up ``RARE_SHARE`` of its
-weight) votes for the relative position (place in file minus place in
-template); the relative position with the most rare words is aligned, its score
-is the IDF-weighted share of template words found at their places, and the
-label is given only if the score reaches ``threshold`` and every mandatory key
-phrase of the template stands inside the aligned stretch.
+weight, and more while the others alone could reach ``threshold``) votes with
+its IDF for the relative position (place in file minus place in template).
+Every relative position that reaches ``threshold`` if all its other words match
+is aligned; its score is the IDF-weighted share of template words found at
+their places, and the label is given if at some position the score reaches
+``threshold`` and every mandatory key phrase of the template stands inside the
+aligned stretch.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from flowtally.llm.common import text_pieces, texts
 from flowtally.llm.decontaminate import words_of
 
 RARE_SHARE = 0.5
+MARGIN = 1e-9  # for rounding, where a bound is compared with the threshold
 
 # Base phrases of the contract and their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -93,16 +96,16 @@ class RareWordIndex:
         for k, (label, text, keys) in enumerate(templates):
             seq = ids(text)
             words = sorted(set(seq.tolist()), key=lambda w: (-idf[w], w))
-            weight, rare = 0.0, []
+            total = float(np.cumsum(idf[seq])[-1])  # added up in the order of _covers
+            weight, rest = 0.0, total
             for w in words:
-                if weight >= RARE_SHARE * idf[words].sum():
+                if weight >= RARE_SHARE * idf[words].sum() and rest < threshold * total * (1 - MARGIN):
                     break
-                rare.append(w)
                 weight += idf[w]
-            for w in rare:
                 for p in np.flatnonzero(seq == w).tolist():
                     self.postings.setdefault(w, []).append((k, p))
-            self.templates.append((label, seq, [ids(x) for x in keys]))
+                    rest -= float(idf[w])
+            self.templates.append((label, seq, [ids(x) for x in keys], total, rest))
 
     @staticmethod
     def _places(text: np.ndarray, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -112,6 +115,16 @@ class RareWordIndex:
             starts = starts[text[starts + step] == w]
         return starts
 
+    def _covers(self, text: np.ndarray, seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Weight of the words of ``seq`` found at their places, per start."""
+        out = np.zeros(len(starts))
+        for step, w in enumerate(seq):
+            place = starts + step
+            same = (place >= 0) & (place < len(text))
+            same[same] = text[place[same]] == w
+            out[same] += self.idf[w]
+        return out
+
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, list[str], list[str], float]:
         get = self.vocabulary.get
         text = np.array([get(w, -1) for w in words], np.int64)
@@ -131,26 +144,28 @@ class RareWordIndex:
                         base.add(label)
                         score = 1.0
         labels = set(base)
-        votes: dict[int, list[np.ndarray]] = {}
+        votes: dict[int, list[tuple[np.ndarray, float]]] = {}
         for word, postings in self.postings.items():
             if word in where:
                 for k, p in postings:
-                    votes.setdefault(k, []).append(where[word] - p)
-        for k, starts in votes.items():
-            label, seq, keys = self.templates[k]
-            at, n = np.unique(np.concatenate(starts), return_counts=True)
-            start = int(at[np.argmax(n)])
-            place = np.arange(len(seq)) + start
-            inside = (place >= 0) & (place < len(text))
-            same = np.zeros(len(seq), bool)
-            same[inside] = text[place[inside]] == seq[inside]
-            cover = float(self.idf[seq[same]].sum() / self.idf[seq].sum())
-            if cover < self.threshold:
-                continue
-            stretch = text[max(0, start) : start + len(seq)]
-            if all(len(self._places(stretch, key, np.arange(len(stretch)))) for key in keys):
+                    votes.setdefault(k, []).append((where[word] - p, self.idf[word]))
+        for k, cast in votes.items():
+            label, seq, keys, total, rest = self.templates[k]
+            starts, nth = np.unique(np.concatenate([x for x, _ in cast]), return_inverse=True)
+            voted = np.bincount(nth, np.repeat([w for _, w in cast], [len(x) for x, _ in cast]))
+            starts = starts[voted + rest >= self.threshold * total * (1 - MARGIN)]
+            cover = self._covers(text, seq, starts) / total
+            starts, cover = starts[cover >= self.threshold], cover[cover >= self.threshold]
+            for key in keys:
+                if len(starts):
+                    found = self._places(text, key, np.arange(len(text)))
+                    nearest = np.searchsorted(found, starts)  # first one not before the stretch
+                    whole = nearest < len(found)
+                    whole[whole] = found[nearest[whole]] + len(key) <= starts[whole] + len(seq)
+                    starts, cover = starts[whole], cover[whole]
+            if len(starts):
                 labels.add(label)
-                score = max(score, cover)
+                score = max(score, float(cover.max()))
         first = np.concatenate(places) if places else None
         return (
             0 if first is None else len(first),
@@ -172,7 +187,7 @@ def license_scan(
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score``.  Null is an empty text: no words,
-    no labels, score 0.  Equal relative positions tie to the earliest."""
+    no labels, score 0.  The score is that of the best place of any label."""
     phrases = BASE_PHRASES if phrases is None else phrases
     vocabulary = _vocabulary([*phrases, *(x for _, t, keys in templates for x in (t, *keys))])
     source = texts(docs, id_col, text_col)

@@ -76,6 +76,38 @@ def test_licenses(make_docs):
     assert license_scan.license_scan(make_docs([])).collect() == []
 
 
+def test_license_after_a_similar_one(make_docs):
+    """Words before the difference are rare: the first notice gets as many
+    votes as the second, which alone is a match."""
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES}
+    common = [(100 + i, "this work is under a 4 0 international") for i in range(40)]
+    docs = [(1, f"{notice['cc-by-nc']}. {notice['cc-by']}."), (2, f"{notice['cc-by-sa']}\n{notice['cc-by-nc']}\n{notice['cc-by']}"), (3, notice["cc-by-nc"]), *common]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(make_docs(docs)).collect() if r.doc_id < 100}
+    assert got == {1: ("cc-by,cc-by-nc", 1.0), 2: ("cc-by,cc-by-nc,cc-by-sa", 1.0), 3: ("cc-by-nc", 1.0)}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 1.0])
+def test_license_alignments_random(threshold):
+    """All places of a template against trying every one."""
+    rng = random.Random(5)
+    vocabulary_ = {w.encode(): i for i, w in enumerate("abcdef")}
+    for _ in range(150):
+        idf = np.array([rng.choice([1.0, 1.5, 4.0, 9.0]) for _ in vocabulary_])
+        seq = [rng.choice("aaabcdef") for _ in range(rng.choice([3, 6, 9]))]
+        key = seq[1:3]
+        index = license_scan.RareWordIndex(vocabulary_, idf, {}, [("x", " ".join(seq), (" ".join(key),))], threshold)
+        text = [w if rng.random() < 0.8 else rng.choice("abcdefzz") for _ in range(6) for w in [*seq, *rng.choices("abcz", k=rng.choice([0, 1, 4]))]]
+        weight = dict(zip("abcdef", idf))
+        best, total = 0.0, sum(weight[w] for w in seq)
+        for start in range(-len(seq) + 1, len(text)):
+            cover = sum(weight[w] for i, w in enumerate(seq) if 0 <= start + i < len(text) and text[start + i] == w) / total
+            stretch = text[max(0, start) : start + len(seq)]
+            if cover >= threshold - 1e-12 and any(stretch[i : i + 2] == key for i in range(len(stretch) - 1)):
+                best = max(best, cover)
+        labels, score = index.scan([w.encode() for w in text])[4:]
+        assert labels == (["x"] if best else []) and abs(score - best) < 1e-9
+
+
 # --- secrets
 
 SECRETS = [
