@@ -15,8 +15,11 @@ then cut by a false-discovery rule that knows the length: among tokens of one
 encoding and length class, random tokens must be spread over the p-values in a
 known way, which gives their number from the upper half; the cut-off is the
 smallest one at which the rest is at most ``fdr`` of what is reported.  Short
-classes, where ordinary words pass the tests more often, get a stricter cut-off
-(or report nothing).
+classes, where ordinary words pass the tests more often, get a stricter cut-off.
+The upper half of a class with few tokens says little, up to nothing about a
+lone random token; there the number may be as high as that half allows, with
+the cut-off at ``DEFAULT_CUT`` or more, if the plain estimate gives none or a
+stricter one.
 
 Positions count code points; ends are exclusive.
 """
@@ -46,6 +49,8 @@ ALPHABETS = (
 )
 LENGTHS = (20, 28, 40, 56, 80)  # lower ends of the length classes
 CUTS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+FEW = 20  # tokens in the upper half from which on their number is taken as it is
+DEFAULT_CUT = 0.02  # smallest cut-off of a class with fewer, unless its plain estimate gives a smaller one
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 CHUNK = 256  # matches walked before they are appended to the rest
 PAGE = 512  # code points of a text that are cut out together
@@ -174,14 +179,34 @@ def cut_offs(counts: dict[tuple[int, int], dict[int, int]], fdr: float) -> dict[
     out = {}
     for group, by_cut in counts.items():
         above = [sum(n for c, n in by_cut.items() if c > i) for i in range(len(CUTS))]
-        random = above[-1] / (1 - CUTS[-1] / 3) ** 3
-        for cut, n in zip(CUTS, above):
-            if n and random and 1 - random * (1 - cut / 3) ** 3 / n <= fdr:
-                out[group] = cut
-                break
+        upper = above[-1]
+        found = [_first_cut(above, upper, fdr)]
+        if upper < FEW:
+            possible = _first_cut(above, _poisson_limit(upper), fdr)
+            found.append(possible and max(possible, DEFAULT_CUT))
+        found = [cut for cut in found if cut]
+        if found:
+            out[group] = min(found)
     return out
 
 
+def _first_cut(above: list[int], upper: float, fdr: float) -> float | None:
+    """The smallest cut at which all but ``fdr`` of the ``above`` tokens can be
+    random, if ``upper`` random ones are above the last cut."""
+    random = upper / (1 - CUTS[-1] / 3) ** 3
+    for cut, n in zip(CUTS, above):
+        if n and random and 1 - random * (1 - cut / 3) ** 3 / n <= fdr:
+            return cut
+    return None
+
+
+def _poisson_limit(n: int) -> float:
+    """The mean below which a Poisson count of ``n`` or fewer has 5 % or more
+    (Wilson and Hilferty's cube)."""
+    n += 1
+    return n * (1 - 1 / (9 * n) + 1.645 / (3 * n**0.5)) ** 3
+
+
 def _cut_offs(tokens: DataFrame, fdr: float) -> dict[tuple[int, int], float]:
     """From all tokens; at most encodings x length classes x cuts rows come
     back."""

@@ -170,6 +170,32 @@ def test_length_aware_cut_offs():
     assert cuts[3, 1] == secret_scan.CUTS[0] and cuts[3, 2] > cuts[3, 1] and (3, 3) not in cuts
 
 
+def test_lone_random_tokens(make_docs):
+    """One token in each class: none of them shows how many are random."""
+    rng = random.Random(11)
+    lengths = (24, 32, 44, 64, 90)
+    docs = [(10 * e + k, f"see {''.join(rng.choice(letters) for _ in range(n))} here") for e, letters in enumerate(secret_scan.ALPHABETS) for k, n in enumerate(lengths)]
+    plain = [(100 + i, f"see {t} here") for i, t in enumerate(["the_quick_brown_fox_jumps_over_it", "einstaueinkeitlichlich" * 2, "thethingentionthestingreha"])]
+    frame = make_docs(docs + plain)
+    found = {r.doc_id for r in secret_scan.secret_scan(frame).collect() if "random" in r.spans}
+    assert len(found) >= 18 and max(found) < 100
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(frame).collect()}
+    assert all(clean[d] == "see [SECRET] here" for d in found) and all(clean[d] == t for d, t in plain)
+
+
+def test_cut_offs_of_few_tokens():
+    cuts = secret_scan.CUTS
+    last = len(cuts)
+    # one token under 0.5; 200 ordinary ones and one of 0.35; one of 0.15 beside one of 0.9
+    few = {(3, 1): {7: 1}, (3, 2): {0: 150, 1: 40, 2: 10, 8: 1}, (3, 3): {last: 1, 6: 1}, (3, 4): {0: 9}}
+    got = secret_scan.cut_offs(few, 0.05)
+    assert got[3, 1] == got[3, 3] == secret_scan.DEFAULT_CUT and cuts[1] < got[3, 2] <= 0.3 and (3, 4) not in got
+    # never stricter than the plain estimate; from FEW on nothing else counts
+    assert secret_scan.cut_offs({(0, 0): {last: 1}}, 0.05)[0, 0] == cuts[0]
+    many = {last: 30, 5: 200, 1: 10}
+    assert secret_scan.cut_offs({(0, 0): many}, 0.05)[0, 0] == secret_scan._first_cut([240, *[230] * 4, *[30] * 5], 30, 0.05)
+
+
 def test_redaction(make_docs):
     docs = [(1, 'x password="abcdefghijkl" y'), (2, None), (3, "clean"), (4, "é AKIAABCDEFGHIJKLMN, deadbeefdeadbeef"), (5, "token=deadbeefdeadbeefdead!")]
     out = secret_scan.redact_secrets(make_docs(docs).withColumnsRenamed({}))
