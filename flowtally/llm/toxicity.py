@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import filter_by_text, held_out, text_pieces
+from flowtally.llm.common import filter_by_text, held_out, text_pieces, write_table
 from flowtally.llm.langid import labelled_sample
 from flowtally.llm.words import hash_words, in_sorted, mix, word_edges
 
@@ -181,10 +181,13 @@ def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 1024, pena
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityModel | None:
     """Model from at most ``per_label`` documents of each label; ``labels``
-    rows that are held out or null, and labels of unknown documents, are not
-    used.  None without labelled documents."""
+    rows that are held out or null, and labels of unknown documents or of ones
+    without a text, are left out before the draw.  None without labelled documents."""
     train = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    train = train.select("doc_id", "toxic", F.lit("").alias("text")).distinct()
+    # only labels of documents with a text are drawn from (ids alone are shuffled)
+    with_text = docs.where("text IS NOT NULL").select("doc_id").distinct()
+    train = train.select("doc_id", "toxic").distinct().join(with_text, "doc_id", "left_semi")
+    train = write_table(train, "toxicity-labels").withColumn("text", F.lit(""))
     sample = labelled_sample(train, per_label, "toxic", "doc_id").select("doc_id", "toxic")
     # the sample has 2 x per_label rows at most, whatever the tables; of rows
     # that repeat a doc_id one text is taken

@@ -94,3 +94,15 @@ def test_repeated_documents_train_once(spark, make_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     once, often = (toxicity.fit_toxicity(make_docs(d), labels) for d in (docs, docs + [docs[3]] * 200))
     assert np.array_equal(once.weight, often.weight) and once.bias == often.bias
+
+
+def test_labels_of_other_documents(spark, make_docs):
+    """A label table of which the documents are a small part: neither the other
+    labels nor null texts use up the sample."""
+    docs = [(i, f"{'vileword' if i % 2 else 'kindword'} filler{i % 7}") for i in range(300)]
+    docs += [(i, None) for i in range(300, 3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30000)], "doc_id long, toxic int")
+    few, alone = (toxicity.fit_toxicity(make_docs(docs), x, per_label=50) for x in (labels, labels.where("doc_id < 300")))
+    texts = [b"a vileword", b"a kindword", b"filler3"]
+    assert few.scores(texts)[0] > 0.7 > 0.3 > few.scores(texts)[1]
+    assert np.array_equal(few.scores(texts), alone.scores(texts))
