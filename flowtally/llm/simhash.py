@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtally.llm.common import checkpoint, texts
@@ -152,13 +152,10 @@ def simhash_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def simhash_groups(
-    docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per input row: the smallest
-    doc_id reachable over fingerprints at ``max_bits`` or fewer differing bits.
-    Null ids link like others but are never a component_id (null if all are)."""
-    fps = checkpoint(simhash_fingerprints(docs, shingle_words, id_col, text_col))
+def _components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, component, component_id)`` of every distinct fingerprint of
+    ``fps`` (``doc_id, fp``): ``component`` names its group, ``component_id``
+    is the group's smallest doc_id (null if all are)."""
     reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = checkpoint(connected_components(simhash_links(reps, max_bits)))
     member = reps.join(groups, reps.fp == groups.node, "left").select(
@@ -166,8 +163,17 @@ def simhash_groups(
     )
     member = checkpoint(member)
     smallest = member.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = checkpoint(member.join(smallest, "component").select("fp", "component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return checkpoint(member.join(smallest, "component").select("fp", "component", "component_id"))
+
+
+def simhash_groups(
+    docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row per input row: the smallest
+    doc_id reachable over fingerprints at ``max_bits`` or fewer differing bits.
+    Null ids link like others but are never a component_id (null if all are)."""
+    fps = checkpoint(simhash_fingerprints(docs, shingle_words, id_col, text_col))
+    return fps.join(_components(fps, max_bits), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -177,11 +183,30 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 4, max_bits: int
     )
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """16 bytes that name a row's id and text; null and empty texts are told apart."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit(" "), part(text)).cast("binary")))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row of each group stays: its smallest doc_id (of rows repeating that
-    id, the first text in byte order).  Rows without an id stay."""
-    groups = near_duplicate_groups(docs, shingle_words, max_bits)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(keep, docs["doc_id"] == keep["keep_id"], "left_semi").withColumn("__nth", first)
-    return kept.where("__nth = 1").drop("__nth").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group stays: that of its smallest doc_id (of the group's
+    rows repeating that id, the first text in byte order).  Rows without an id
+    stay.  The smallest id is found on ids and keys of rows; texts are compared
+    only where rows repeat it."""
+
+    def run(batches):
+        for b in batches:
+            fps = [_fingerprint(t, shingle_words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), _row_key("doc_id", "text").alias("key"))
+    fps = checkpoint(keyed.mapInArrow(run, "doc_id long, key binary, fp long"))
+    first = fps.join(_components(fps, max_bits), "fp").where("doc_id = component_id")
+    first = checkpoint(first.groupBy("component", "key").agg(F.count("*").alias("n")))
+    rows = first.groupBy("component").agg(F.sum("n").alias("__rows"))
+    first = first.join(rows, "component").select(F.col("key").alias("__key"), F.col("component").alias("__component"), "__rows")
+    kept = docs.withColumn("__key", _row_key("doc_id", "text")).join(first, "__key")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = kept.where("__rows > 1").groupBy("__component").agg(F.min_by(F.struct(*columns), F.struct("text")).alias("__row"))
+    return kept.where("__rows = 1").select(*columns).unionByName(several.select("__row.*")).unionByName(docs.where("doc_id IS NULL"))

@@ -89,6 +89,16 @@ def test_drop_near_duplicates(make_docs):
     assert got.where("doc_id is null").count() == 2
 
 
+def test_repeated_ids_of_different_texts(make_docs):
+    """The row that stays belongs to the group, whatever its id does elsewhere."""
+    words = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    a, b, c = words("a"), words("b"), words("c")
+    got = lambda pairs: rows(simhash.drop_near_duplicates(make_docs(pairs)).select("doc_id", "text"))
+    assert got([(3, a), (7, a), (7, b)]) == [(3, a), (7, b)]
+    assert got([(7, c), (7, b), (7, a), (8, c), (7, a)]) == [(7, a), (7, b), (7, c)]
+    assert got([(5, a.upper()), (5, a), (6, a), (5, a)]) == [(5, a.upper())]  # one fingerprint, first in byte order
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(9)
     for n, m in ((1, 0), (30, 20), (200, 180), (300, 900)):
