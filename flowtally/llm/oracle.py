@@ -64,8 +64,44 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(least(vec_id, low.b), vec_i
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
 
+
+
+def _codes() -> str:
+    """Product codes: whole numbers below 2^53 throughout, so DOUBLE products
+    are exact."""
+    assigned = """a{k} AS (
+  SELECT vec_id, p, min(CAST(list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c) AS BIGINT) * 64 + e) AS m
+  FROM x JOIN b{k} USING (p) GROUP BY ALL
+)"""
+    moved = """b{n} AS (
+  SELECT p, e, coalesce(c2, c) AS c FROM b{k} LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c2
+    FROM (
+      SELECT p, m % 64 AS e, i, sum(CAST(v[i] AS BIGINT)) AS s, count(*) AS n
+      FROM (SELECT *, unnest(generate_series(1, len(v))) AS i FROM x JOIN a{k} USING (vec_id, p)) GROUP BY ALL
+    ) GROUP BY ALL
+  ) USING (p, e)
+)"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * CAST(y AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+),
+x AS (SELECT vec_id, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS v FROM kept, range(16) AS t(p)),
+b0 AS (SELECT p, e, v AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 64),
+{assigned.format(k=0)}, {moved.format(k=0, n=1)}, {assigned.format(k=1)}, {moved.format(k=1, n=2)}, {assigned.format(k=2)},
+coded AS (
+  SELECT vec_id, lower(string_agg(printf('%02x', m % 64), '' ORDER BY p)) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY 1
+),
+books AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM b2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
+
 ORACLE_SQL = {
     "op3_decontamination": _DECONTAMINATION,
     "op6_embedding_dedup": _VECTORS,
     "op8_substring_dedup": _SUBSTRINGS,
+    "op11_vector_codes": _codes(),
 }

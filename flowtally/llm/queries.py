@@ -14,6 +14,7 @@ from flowtally.llm.secret_scan import secret_scan
 from flowtally.llm.simhash import near_duplicate_groups
 from flowtally.llm.substring_dedup import dedup_substrings
 from flowtally.llm.toxicity import toxicity
+from flowtally.llm.vector_codes import compress_vectors
 from flowtally.llm.warc import warc_round_trip
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,10 +67,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=16, rounds=2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_warc, op3_decontamination, op4_license_scan, op5_secret_scan,
         op6_embedding_dedup, op7_byte_bpe, op8_substring_dedup, op9_language_id, op10_toxicity,
+        op11_vector_codes,
     )
 }

@@ -1,0 +1,115 @@
+"""Product codes against plain Python on planted and odd vectors."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from flowtally.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, size int"
+
+
+def brute(rows, parts=16, rounds=2):
+    """rows: (vec_id, vector, label) -> {(vec_id, code, error, label_error, digest): copies}."""
+    kept = [(i, [math.floor(256 * Fraction(float(np.float32(x)))) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for size in {len(v) for _, v, _ in kept}:
+        group = sorted((r for r in kept if len(r[1]) == size), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        edges = [0]
+        for p in range(parts):
+            edges.append(edges[-1] + size // parts + (p < size % parts))
+        pieces = [[v[a:b] for a, b in zip(edges, edges[1:])] for _, v, _ in group]
+        books = [[list(x[p]) for x in pieces[:64]] for p in range(parts)]
+
+        def near(p, v):
+            return min((sum((a - b) ** 2 for a, b in zip(v, e)), k) for k, e in enumerate(books[p]))
+
+        for _ in range(rounds):
+            new = []
+            for p in range(parts):
+                held = [[] for _ in books[p]]
+                for x in pieces:
+                    held[near(p, x[p])[1]].append(x[p])
+                new.append([[sum(c) // len(h) for c in zip(*h)] if h else e for h, e in zip(held, books[p])])
+            books = new
+        digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+        for (i, _, label), x in zip(group, pieces):
+            found = [near(p, x[p]) for p in range(parts)]
+            error = sum(d for d, _ in found)
+            out.append((i, "".join(f"{k:02x}" for _, k in found), error if error < 1 << 63 else None, label, digest))
+    sums = {}
+    for _, _, error, label, _ in out:
+        sums[label] = sums.get(label, 0) + (1 << 63 if error is None else error)
+    sums = {label: s if s < 1 << 63 else None for label, s in sums.items()}
+    return sorted(((i, c, e, sums[label], h) for i, c, e, label, h in out), key=str)
+
+
+def got(spark, rows, parts=3):
+    df = spark.createDataFrame([(i, v, label, "x", 1) for i, v, label in rows], SCHEMA).repartition(parts)
+    return sorted((tuple(r) for r in vector_codes.compress_vectors(df).collect()), key=str)
+
+
+def vectors(n, size, seed, spread=1.0):
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, spread, (n, size)).astype(np.float32).tolist()
+
+
+@pytest.mark.parametrize("size", [16, 64, 40, 5])
+def test_random(spark, size):
+    """Even and uneven parts, parts without components, hot and null labels."""
+    rng = random.Random(size)
+    rows = [(rng.randrange(-50, 1000), v, rng.choice([None, 1, 1, 1, 2])) for v in vectors(300, size, size)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    good = vectors(90, 32, 7)
+    rows = [(i, v, i % 3) for i, v in enumerate(good)]
+    rows += [(200, None, 1), (201, [nan] + good[0][1:], 1), (202, [inf] + good[0][1:], 1), (203, good[0][:-1] + [None], 1), (204, [-inf] * 32, None)]
+    rows += [(None, good[3], None), (None, good[3], None), (5, good[9], 2), (5, good[9], 2), (300, [0.0] * 32, 1)]  # null and repeated ids
+    rows += [(400, [], 1), (401, [], None), (402, [1.5], 4), (403, good[0][:20], 4)]  # other sizes
+    assert got(spark, rows) == brute(rows)
+
+
+def test_few_equal_and_no_vectors(spark):
+    assert got(spark, []) == []
+    assert got(spark, [(1, None, 1)]) == []
+    rows = [(9, [0.25] * 16, 1), (3, [0.25] * 16, None), (4, [-0.25] * 16, 1)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_large_components(spark):
+    """Beyond what int64 squares hold; what a long cannot hold is null."""
+    rows = [(i, v, i % 2) for i, v in enumerate(vectors(80, 16, 3, 1e4))]
+    rows += [(100 + i, v, 2) for i, v in enumerate(vectors(40, 16, 4, 1e7))]
+    assert got(spark, rows) == brute(rows)
+    rows += [(200 + i, v, 3) for i, v in enumerate(vectors(70, 16, 5, 1e30))]
+    want = brute(rows)
+    assert got(spark, rows) == want and any(r[2] is None for r in want) and any(r[3] is not None for r in want)
+
+
+def test_slices_find_the_nearest():
+    """Every entry outside the box is farther than the radius: the masks never
+    lose the nearest entry, whatever the first radius."""
+    rng = np.random.default_rng(1)
+    book, q = rng.integers(-90, 90, (64, 4)), rng.integers(-400, 400, (2000, 4))
+    book[10] = book[3]  # a tie goes to the lower index
+    gap = ((q[:, None] - book) ** 2).sum(axis=2)
+    table = vector_codes.Slices(book)
+    for radius in (1, table.radius, 5000):
+        table.radius = radius
+        best, error = table.nearest(q)
+        assert (best == gap.argmin(axis=1)).all() and (error == gap.min(axis=1)).all()
+
+
+def test_arguments(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [1.5, 2.0], "a")], "k long, v array<double>, g string")
+    got = vector_codes.compress_vectors(df, parts=2, rounds=1, id_col="k", vector_col="v", label_col="g").collect()
+    assert {(r.vec_id, r.code, r.error, r.label_error) for r in got} == {(1, "0000", 0, 0), (2, "0100", 0, 0)}
