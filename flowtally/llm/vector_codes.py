@@ -49,6 +49,11 @@ def integers(x: np.ndarray) -> np.ndarray:
     return np.array(whole, object).reshape(x.shape)
 
 
+def _narrow(entries: list, shape: tuple) -> np.ndarray:
+    wide = np.array(entries, object).reshape(shape)
+    return wide if any(abs(x) >> 58 for x in wide.ravel()) else wide.astype(np.int64)
+
+
 def cut(q: np.ndarray, parts: int) -> list[np.ndarray]:
     """Consecutive parts; the first ones are longer by one where the size
     does not divide evenly."""
@@ -196,10 +201,10 @@ def _moved(books: Books, sums: DataFrame) -> Books:
     out: Books = {}
     for size, parts in books.items():
         out[size] = [
-            np.array(
+            _narrow(
                 [[total.get((size, p, e, d), 0) // n for d in range(len(row))] if (n := total.get((size, p, e, -1))) else list(row) for e, row in enumerate(book)],
-                book.dtype,
-            ).reshape(book.shape)
+                book.shape,
+            )
             for p, book in enumerate(parts)
         ]
     return out
