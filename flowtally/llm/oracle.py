@@ -99,9 +99,43 @@ FROM coded JOIN kept USING (vec_id), books
 """
 
 
+_DIVERGENCE = """
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+t AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT d) AS docs FROM (SELECT *, unnest(w) AS term FROM d) GROUP BY ALL),
+l AS (SELECT lang, term, CAST(sum(c) AS BIGINT) AS c FROM t GROUP BY ALL HAVING sum(docs) >= 3),
+ln AS (SELECT lang, count(*) AS v, CAST(sum(c) AS BIGINT) AS n FROM l GROUP BY ALL),
+g AS (
+  SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT t.lang, t.source, t.c FROM t JOIN l USING (lang, term)) USING (lang, source) GROUP BY ALL
+),
+p AS (
+  SELECT lang, source, term, coalesce(t.c, 0) AS c, 1 + 1000000000 * (coalesce(t.c, 0) + 1) // (g.n + v) AS p, 1 + 1000000000 * (l.c + 1) // (ln.n + v) AS q
+  FROM g JOIN l USING (lang) JOIN ln USING (lang) LEFT JOIN t USING (lang, source, term)
+),
+pairs AS (
+  SELECT lang, source, item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source)
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) USING (lang, source, item)
+),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms)
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE_SQL = {
     "op3_decontamination": _DECONTAMINATION,
     "op6_embedding_dedup": _VECTORS,
     "op8_substring_dedup": _SUBSTRINGS,
     "op11_vector_codes": _codes(),
+    "op12_source_divergence": _DIVERGENCE,
 }

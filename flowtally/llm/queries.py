@@ -12,6 +12,7 @@ from flowtally.llm.langid import identify_languages
 from flowtally.llm.license_scan import license_scan
 from flowtally.llm.secret_scan import secret_scan
 from flowtally.llm.simhash import near_duplicate_groups
+from flowtally.llm.source_divergence import source_divergence
 from flowtally.llm.substring_dedup import dedup_substrings
 from flowtally.llm.toxicity import toxicity
 from flowtally.llm.vector_codes import compress_vectors
@@ -71,11 +72,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(read_table(spark, sf_dir, "embeddings"), parts=16, rounds=2)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_warc, op3_decontamination, op4_license_scan, op5_secret_scan,
         op6_embedding_dedup, op7_byte_bpe, op8_substring_dedup, op9_language_id, op10_toxicity,
-        op11_vector_codes,
+        op11_vector_codes, op12_source_divergence,
     )
 }
