@@ -132,10 +132,32 @@ ranked AS (
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+
+
+def _chats() -> str:
+    """Formatted length: both parts, the three marks of a turn, and one escape
+    for each control string and escape inside."""
+    from flowtally.llm.chat_format import BODY, CONTROL, END, ESCAPE, TURN
+
+    inside = " + ".join(f"(len({{0}}) - len(replace({{0}}, '{c}', ''))) // {len(c)}" for c in (*CONTROL, ESCAPE))
+    grown = " + ".join(f"len({c}) + {inside.format(c)}" for c in ("role", "text"))
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)
+),
+s AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, {len(TURN + BODY + END)} + {grown} AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(len(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM s GROUP BY 1
+"""
+
+
 ORACLE_SQL = {
     "op3_decontamination": _DECONTAMINATION,
     "op6_embedding_dedup": _VECTORS,
     "op8_substring_dedup": _SUBSTRINGS,
     "op11_vector_codes": _codes(),
     "op12_source_divergence": _DIVERGENCE,
+    "op13_chat_format": _chats(),
 }

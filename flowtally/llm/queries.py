@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowtally.llm.bpe import bpe_round_trip
+from flowtally.llm.chat_format import conversation_digests, format_conversations
 from flowtally.llm.common import read_table
 from flowtally.llm.decontaminate import decontamination
 from flowtally.llm.itq import near_duplicate_vectors
@@ -76,11 +77,18 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"), min_docs=3, top_terms=200)
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"  # a conversation of control strings
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
+    return conversation_digests(format_conversations(rows))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_warc, op3_decontamination, op4_license_scan, op5_secret_scan,
         op6_embedding_dedup, op7_byte_bpe, op8_substring_dedup, op9_language_id, op10_toxicity,
-        op11_vector_codes, op12_source_divergence,
+        op11_vector_codes, op12_source_divergence, op13_chat_format,
     )
 }
