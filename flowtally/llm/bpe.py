@@ -1,16 +1,17 @@
 """Byte-level BPE with every distinct word encoded once.
 
-Documents are dealt into buckets.  Each bucket explodes its texts into
-pre-tokens and sends its distinct words, sorted and packed, to the part that
-their hash names.  A part gathers a word from all buckets, encodes it once and
-sends its ids back to the buckets that asked.  There the ids are joined to the
-words and the documents are reassembled by position: the bucket walks through
-its pre-tokens in order.  Decoding joins the ids with the token-byte table,
-again once for each distinct word.
-
-Only distinct words travel, never one row per occurrence.  The rank table has
-one entry per id of the vocabulary file, however large the corpus, and is sent
-to the executors.
+A task splits its documents into pre-tokens, in buckets of bounded text size,
+and numbers each bucket's distinct words; a document becomes the sequence of
+its word numbers.  A bucket sends its words, packed, to the parts that their
+hashes name.  A part gathers a word from all buckets, encodes it once and sends
+its ids back to the buckets that asked.  There the ids are joined to the word
+numbers and the documents are reassembled by position.  Decoding joins the ids
+with the token-byte table, again once for each distinct word.
+
+Texts are split once and never travel: only word numbers do, and distinct words
+(a blob per bucket and part holds one word or more, so blobs stay below the
+buckets' distinct words).  The rank table has one entry per id of the
+vocabulary file, however large the corpus, and is sent to the executors.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ import base64
 import hashlib
 import heapq
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import bucket_texts, per_bucket, text_buckets
+from flowtally.llm.common import text_pieces, texts
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -69,92 +72,134 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 SEPARATOR = b"\xff"  # no UTF-8 text holds this byte
+NUMBERS = -1  # the part of a bucket's word numbers
+SPLIT = "bucket string, part int, blob binary, of array<int>, ids array<bigint>, sizes array<int>"
 
 
-def _pack(words: list[bytes]) -> bytes:
-    return zlib.compress(SEPARATOR.join(words), 1)
+def _id_type(end: int) -> type:
+    """Narrowest type for ids and the mark ``end`` behind each word's."""
+    return np.uint16 if end < 1 << 16 else np.uint32
 
 
-def _unpack(blob: bytes) -> list[bytes]:
-    return zlib.decompress(blob).split(SEPARATOR)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Low and high halves apart: most high ones are zero."""
+    return zlib.compress((numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes(), 1)
 
 
-def _id_type(end: int) -> type:
-    """Narrowest type for ids and the mark ``end`` behind each word's."""
-    return np.uint16 if end < 1 << 16 else np.uint32
+def _numbers(blob: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(blob), "<u2").reshape(2, -1).astype(np.uint32)
+    return low | high << 16
 
 
-def _by_part(words: set[bytes], parts: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        out.setdefault(zlib.crc32(w) % parts, []).append(w)
-    return {p: sorted(x) for p, x in out.items()}
+class _Bucket:
+    """Word numbers of the documents of one bucket, by first appearance."""
 
+    def __init__(self, name: str):
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.name, self.digest = name, hashlib.blake2b(digest_size=16)
+        self.ids, self.sizes, self.numbers, self.bytes = [], [], [], 0
 
-PACKED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
+    def add(self, doc_id: int | None, text: bytes, findall) -> None:
+        words = findall(text.decode("utf-8", "replace"))
+        self.ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.numbers.append(np.fromiter(map(self.index.__getitem__, words), np.uint32, len(words)))
+        self.digest.update(b"%d:" % len(text) + text)
+        self.bytes += len(text)
 
+    def rows(self, parts: int) -> pa.RecordBatch:
+        """A row of word numbers, then the words of each part.  The name holds
+        a digest of the texts: should a lost task's documents come in another
+        order the second time, its words and numbers could not be mixed up."""
+        words = [w.encode() for w in self.index]
+        of = np.array([zlib.crc32(w) % parts for w in words], np.int32)
+        order = np.argsort(of, kind="stable")
+        full, begin = np.unique(of[order], return_index=True)
+        packed = [zlib.compress(SEPARATOR.join([words[i] for i in at.tolist()]), 1) for at in np.split(order, begin[1:])] if words else []
+        n, name = len(packed), f"{self.name}-{self.digest.hexdigest()}"
+        numbers = _planes(np.concatenate([np.zeros(0, np.uint32), *self.numbers]))
+        columns = [[name] * (n + 1), [NUMBERS, *full.tolist()], [numbers, *packed], [of, *[None] * n], [self.ids, *[None] * n], [self.sizes, *[None] * n]]
+        types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in SPLIT.split(", ")])
 
-def _encoded(rows: DataFrame, parts: int, pattern: str, ranks) -> DataFrame:
-    """``(bucket, part, blob)``: for each bucket and part the ids of the
-    bucket's distinct words of that part, in the words' byte order."""
 
-    def words(bucket, data):
-        split = regex.compile(pattern).findall
-        seen: set[str] = set()
-        for t in data:
-            seen.update(split(t.decode("utf-8", "replace")))
-        for part, found in _by_part({w.encode() for w in seen}, parts).items():
-            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "part": part, "blob": _pack(found)}], schema=PACKED)
+def _split(docs: DataFrame, parts: int, pattern: str, bucket_bytes: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``SPLIT``, by bucket; several uses in one query share one
+    exchange."""
+
+    def run(batches):
+        findall, task, made = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        bucket = _Bucket(f"{task}-0")
+        for batch in text_pieces(batches):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                text = text or b""
+                if bucket.ids and bucket.bytes + len(text) > bucket_bytes:
+                    yield bucket.rows(parts)
+                    made += 1
+                    bucket = _Bucket(f"{task}-{made}")
+                bucket.add(doc_id, text, findall)
+        if bucket.ids:
+            yield bucket.rows(parts)
+
+    return texts(docs, id_col, text_col).mapInArrow(run, SPLIT).repartition("bucket")
+
+
+def _encoded(split: DataFrame, ranks) -> DataFrame:
+    """``(bucket, part, blob)``: for each bucket and part the ids of the
+    bucket's distinct words of that part, in the words' order."""
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         table, known, blobs = ranks.value, {}, []
         end = max(table.values(), default=0) + 1
         for blob in frame["blob"]:
             flat = []
-            for w in _unpack(blob):
+            for w in zlib.decompress(blob).split(SEPARATOR):
                 if (got := known.get(w)) is None:
                     got = known[w] = (*encode_word(w, table), end)
                 flat += got
             blobs.append(zlib.compress(np.array(flat, _id_type(end)).tobytes(), 1))
         return pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "blob": blobs})
 
-    sent = per_bucket(rows, words, "bucket int, part int, blob binary")
-    return sent.groupBy("part").applyInPandas(encode, "bucket int, part int, blob binary")
+    words = split.where(F.col("part") != NUMBERS).select("bucket", "part", "blob")
+    return words.groupBy("part").applyInPandas(encode, "bucket string, part int, blob binary")
 
 
 def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int, id_col: str, text_col: str, row, schema: str) -> DataFrame:
-    """``row(words, ids, raw)`` of each document: its pre-tokens in order, and
-    per distinct word its ids and their bytes."""
+    """``row(ids, raw)(numbers)`` of each document: per word number its ids and
+    their bytes, and the document's word numbers in order."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(spark, ranks_path))  # a vocabulary, whatever the corpus
-    rows, n = text_buckets(docs, id_col, text_col, bucket_bytes)
-    coded = _encoded(rows, n, pattern, ranks)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    split = _split(docs, max(16, -(-size // bucket_bytes)), pattern, bucket_bytes, id_col, text_col)
+    coded = _encoded(split, ranks)
     names = [x.split()[0] for x in schema.split(", ")]
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [arrow[x.split()[1]] for x in schema.split(", ")]
 
-    def join(texts_: pa.Table, replies: pa.Table) -> pa.Table:
+    def join(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         token = {i: b for b, i in ranks.value.items()}  # the token-byte table
         end = max(token, default=0) + 1
-        split = regex.compile(pattern).findall
-        docs_ = [split(t.decode("utf-8", "replace")) for t in bucket_texts(texts_)]
-        by_part = _by_part({w.encode() for w in set().union(*docs_)}, n)
-        ids: dict[str, list[int]] = {}
-        raw_bytes: dict[str, bytes] = {}
+        held = bucket.to_pylist()[0]
+        of = np.array(held["of"], np.int32)
+        ids: list = [None] * len(of)
+        # A part's replies are in the order of the numbers of its words.
+        order = np.argsort(of, kind="stable")
+        at = dict(zip(*(x.tolist() for x in np.unique(of[order], return_index=True))))
         for part, blob in zip(replies.column("part").to_pylist(), replies.column("blob").to_pylist()):
             flat = np.frombuffer(zlib.decompress(blob), _id_type(end))
-            ends, flat, at = np.flatnonzero(flat == end).tolist(), flat.tolist(), 0
-            for w, stop in zip(by_part[part], ends):
-                key, got = w.decode(), flat[at:stop]
-                ids[key] = got
-                raw_bytes[key] = token[got[0]] if len(got) == 1 else b"".join([token[i] for i in got])
-                at = stop + 1
-        one = row(ids, raw_bytes)
-        out = [one(words) for words in docs_]
-        columns = list(zip(*out)) if out else [()] * (len(names) - 1)
-        return pa.table([texts_.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types[1:]))], names=names)
+            ends = np.flatnonzero(flat == end)
+            flat, begin = flat.tolist(), 0
+            for i, stop in zip(order[at[part] : at[part] + len(ends)].tolist(), ends.tolist()):
+                ids[i], begin = flat[begin:stop], stop + 1
+        raw = [token[x[0]] if len(x) == 1 else b"".join([token[i] for i in x]) for x in ids]
+        one, numbers = row(ids, raw), _numbers(held["blob"])
+        out = [one(x) for x in np.split(numbers, np.cumsum(held["sizes"])[:-1])]
+        columns = [held["ids"], *zip(*out)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return rows.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)
+    numbers = split.where(F.col("part") == NUMBERS)
+    return numbers.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +208,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int
     have no ids; repeated rows are encoded each."""
 
     def row(ids, _):
-        def one(words):
-            flat = [i for w in words for i in ids[w]]
+        def one(numbers):
+            flat = [i for w in numbers.tolist() for i in ids[w]]
             return len(flat), flat
 
         return one
@@ -192,12 +237,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes:
     (decimal, comma-joined) and of the bytes they decode to."""
 
     def row(ids, raw):
-        text = {w: ",".join(map(str, x)) for w, x in ids.items()}
+        text = [",".join(map(str, x)).encode() for x in ids]
+        size = np.array([len(x) for x in ids], np.int64)
 
-        def one(words):
-            flat = ",".join([text[w] for w in words])
+        def one(numbers):
+            words = numbers.tolist()
+            flat = hashlib.sha256(b",".join([text[w] for w in words])).hexdigest()
             decoded = hashlib.sha256(b"".join([raw[w] for w in words])).hexdigest()
-            return flat.count(",") + 1 if flat else 0, hashlib.sha256(flat.encode()).hexdigest(), decoded
+            return int(size[numbers].sum()), flat, decoded
 
         return one
 
