@@ -25,6 +25,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +143,7 @@ def _split(docs: DataFrame, parts: int, pattern: str, bucket_bytes: int, id_col:
         if bucket.ids:
             yield bucket.rows(parts)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, SPLIT).repartition("bucket")
+    return texts(docs, id_col, text_col).mapInArrow(run, SPLIT).repartition(parts, "bucket")
 
 
 def _encoded(split: DataFrame, ranks) -> DataFrame:
@@ -161,8 +162,14 @@ def _encoded(split: DataFrame, ranks) -> DataFrame:
             blobs.append(zlib.compress(np.array(flat, _id_type(end)).tobytes(), 1))
         return pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "blob": blobs})
 
-    words = split.where(F.col("part") != NUMBERS).select("bucket", "part", "blob")
-    return words.groupBy("part").applyInPandas(encode, "bucket string, part int, blob binary")
+    def words(batches):
+        for b in batches:
+            yield b.filter(pc.not_equal(b.column("part"), NUMBERS)).select(["bucket", "part", "blob"])
+
+    # A filter or a projection of Spark's would move below the exchange, which
+    # then could not be shared: the texts would be split a second time.
+    asked = split.mapInArrow(words, "bucket string, part int, blob binary")
+    return asked.groupBy("part").applyInPandas(encode, "bucket string, part int, blob binary")
 
 
 def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int, id_col: str, text_col: str, row, schema: str) -> DataFrame:
@@ -180,7 +187,7 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
     def join(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         token = {i: b for b, i in ranks.value.items()}  # the token-byte table
         end = max(token, default=0) + 1
-        held = bucket.to_pylist()[0]
+        held = bucket.filter(pc.equal(bucket.column("part"), NUMBERS)).to_pylist()[0]
         of = np.array(held["of"], np.int32)
         ids: list = [None] * len(of)
         # A part's replies are in the order of the numbers of its words.
@@ -198,8 +205,7 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
         columns = [held["ids"], *zip(*out)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    numbers = split.where(F.col("part") == NUMBERS)
-    return numbers.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)
+    return split.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
