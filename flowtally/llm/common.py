@@ -28,6 +28,18 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column has it (in any
+    case), so that helper columns never replace a user's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def write_table(df: DataFrame, kind: str) -> DataFrame:
     """Cut lineage: write to a fresh folder under ``spark.checkpoint.dir``
     (shared, so it survives lost executors) and read it back."""

@@ -16,21 +16,20 @@ encoding and length class, random tokens must be spread over the p-values in a
 known way, which gives their number from the upper half; the cut-off is the
 smallest one at which the rest is at most ``fdr`` of what is reported.  Short
 classes, where ordinary words pass the tests more often, get a stricter cut-off.
-The upper half of a class with few tokens says little, up to nothing about a
-lone random token; there the number may be as high as that half allows, with
-the cut-off at ``DEFAULT_CUT`` or more, if the plain estimate gives none or a
-stricter one.
+The upper half of a class bounds that number from above, too (a Poisson limit,
+which tends to the plain estimate as the class grows and allows a lone token);
+from ``DEFAULT_CUT`` on a cut-off may rest on that bound.  The rule is one for
+all class sizes, and more tokens in the upper half never raise a cut-off.
 
 Positions count code points; ends are exclusive.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import write_table
+from flowtally.llm.common import free_names, write_table
 
 # The patterns of the base kinds, in order, and the shortest
 # match (of the given group) that counts.
@@ -49,8 +48,7 @@ ALPHABETS = (
 )
 LENGTHS = (20, 28, 40, 56, 80)  # lower ends of the length classes
 CUTS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
-FEW = 20  # tokens in the upper half from which on their number is taken as it is
-DEFAULT_CUT = 0.02  # smallest cut-off of a class with fewer, unless its plain estimate gives a smaller one
+DEFAULT_CUT = 0.02  # smallest cut-off that may rest on the upper bound of the random tokens
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 CHUNK = 256  # matches walked before they are appended to the rest
 PAGE = 512  # code points of a text that are cut out together
@@ -159,12 +157,12 @@ def _battery(tokens: Column) -> Column:
     return step
 
 
-def _scan(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``__base`` and ``__tokens`` columns."""
+def _scan(docs: DataFrame, text_col: str, base_col: str = "__base", tokens_col: str = "__tokens") -> DataFrame:
+    """``docs`` with a column of base spans and one of tested tokens."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = [_spans(text, MAYBE[k], *BASE[k], k) for k in range(3)]
     tokens = _spans(text, TOKEN, TOKEN, 0, 20, 3, keep_text=True)
-    return docs.withColumns({"__base": F.concat(*base), "__tokens": _battery(tokens)})
+    return docs.withColumns({base_col: F.concat(*base), tokens_col: _battery(tokens)})
 
 
 def _length_class(n: Column) -> Column:
@@ -180,24 +178,17 @@ def cut_offs(counts: dict[tuple[int, int], dict[int, int]], fdr: float) -> dict[
     for group, by_cut in counts.items():
         above = [sum(n for c, n in by_cut.items() if c > i) for i in range(len(CUTS))]
         upper = above[-1]
-        found = [_first_cut(above, upper, fdr)]
-        if upper < FEW:
-            possible = _first_cut(above, _poisson_limit(upper), fdr)
-            found.append(possible and max(possible, DEFAULT_CUT))
-        found = [cut for cut in found if cut]
-        if found:
-            out[group] = min(found)
+        for cut, n in zip(CUTS, above):
+            if n and (_random(upper, cut) >= (1 - fdr) * n or cut >= DEFAULT_CUT and _random(_poisson_limit(upper), cut) >= (1 - fdr) * n):
+                out[group] = cut
+                break
     return out
 
 
-def _first_cut(above: list[int], upper: float, fdr: float) -> float | None:
-    """The smallest cut at which all but ``fdr`` of the ``above`` tokens can be
-    random, if ``upper`` random ones are above the last cut."""
-    random = upper / (1 - CUTS[-1] / 3) ** 3
-    for cut, n in zip(CUTS, above):
-        if n and random and 1 - random * (1 - cut / 3) ** 3 / n <= fdr:
-            return cut
-    return None
+def _random(upper: float, cut: float) -> float:
+    """Random tokens of p at ``cut`` or more, if ``upper`` of them are above
+    the last cut."""
+    return upper * ((1 - cut / 3) / (1 - CUTS[-1] / 3)) ** 3
 
 
 def _poisson_limit(n: int) -> float:
@@ -207,10 +198,10 @@ def _poisson_limit(n: int) -> float:
     return n * (1 - 1 / (9 * n) + 1.645 / (3 * n**0.5)) ** 3
 
 
-def _cut_offs(tokens: DataFrame, fdr: float) -> dict[tuple[int, int], float]:
+def _cut_offs(tokens: DataFrame, fdr: float, tokens_col: str = "__tokens") -> dict[tuple[int, int], float]:
     """From all tokens; at most encodings x length classes x cuts rows come
     back."""
-    x = tokens.select(F.explode("__tokens").alias("x")).select(
+    x = tokens.select(F.explode(tokens_col).alias("x")).select(
         F.col("x.encoding").alias("encoding"),
         _length_class(F.col("x.n")).alias("length"),
         sum(((F.col("x.p") >= cut).cast("int") for cut in CUTS), F.lit(0)).alias("cut"),
@@ -221,7 +212,7 @@ def _cut_offs(tokens: DataFrame, fdr: float) -> dict[tuple[int, int], float]:
     return cut_offs(counts, fdr)
 
 
-def _reported(cuts: dict[tuple[int, int], float]) -> Column:
+def _reported(cuts: dict[tuple[int, int], float], base_col: str = "__base", tokens_col: str = "__tokens") -> Column:
     """All spans of a row, by start and then kind."""
 
     def passes(x):
@@ -230,8 +221,8 @@ def _reported(cuts: dict[tuple[int, int], float]) -> Column:
             cut = F.when((x["encoding"] == encoding) & (_length_class(x["n"]) == length), F.lit(p)).otherwise(cut)
         return F.coalesce(x["p"] >= cut, F.lit(False))
 
-    random = F.transform(F.filter("__tokens", passes), lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return F.array_sort(F.concat("__base", random.cast(SPAN)))
+    random = F.transform(F.filter(tokens_col, passes), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+    return F.array_sort(F.concat(base_col, random.cast(SPAN)))
 
 
 def _joined(spans: Column) -> Column:
@@ -261,11 +252,12 @@ def redact_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", m
     """``docs`` with every reported span of the text replaced by ``mark``
     (overlapping spans by one); other columns and texts without spans, null
     included, are unchanged."""
-    scanned = _scan(docs, text_col)
-    cuts = _cut_offs(write_table(scanned.select("__tokens").where(F.size("__tokens") > 0), "secrets"), fdr)
+    base, tokens, spans = free_names(docs, "base", "tokens", "spans")
+    # Texts are scanned once: they are written with what was found in them.
+    scanned = write_table(_scan(docs, text_col, base, tokens), "secrets")
+    cuts = _cut_offs(scanned, fdr, tokens)
     text = F.col(f"`{text_col}`")
 
-
     def clean(pages):
         def cut(start, end=None):
             page = lambda at: (at / PAGE).cast("int")
@@ -277,8 +269,8 @@ def redact_secrets(docs: DataFrame, fdr: float = 0.05, text_col: str = "text", m
             pieces = F.array(cut(at, x["start"]), F.lit(mark))
             return F.greatest(at, x["end"]), F.when(x["start"] >= at, pieces).otherwise(F.array().cast("array<string>"))
 
-        return _walk(F.col("__spans"), "array<string>", step, lambda at, out: F.concat(F.array_join(out, ""), cut(at)))
+        return _walk(F.col(spans), "array<string>", step, lambda at, out: F.concat(F.array_join(out, ""), cut(at)))
 
     clean_text = _bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)), clean)
-    out = scanned.withColumn("__spans", _reported(cuts))
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, clean_text).otherwise(text)).select(*(f"`{c}`" for c in docs.columns))
+    out = scanned.withColumn(spans, _reported(cuts, base, tokens))
+    return out.withColumn(text_col, F.when(F.size(spans) > 0, clean_text).otherwise(text)).select(*(f"`{c}`" for c in docs.columns))

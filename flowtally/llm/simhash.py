@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import checkpoint, texts
+from flowtally.llm.common import checkpoint, free_names, texts
 from flowtally.llm.components import connected_components
 
 MAX_BITS = 4  # what the three segments are proven for
@@ -204,9 +204,11 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int
     fps = checkpoint(keyed.mapInArrow(run, "doc_id long, key binary, fp long"))
     first = fps.join(_components(fps, max_bits), "fp").where("doc_id = component_id")
     first = checkpoint(first.groupBy("component", "key").agg(F.count("*").alias("n")))
-    rows = first.groupBy("component").agg(F.sum("n").alias("__rows"))
-    first = first.join(rows, "component").select(F.col("key").alias("__key"), F.col("component").alias("__component"), "__rows")
-    kept = docs.withColumn("__key", _row_key("doc_id", "text")).join(first, "__key")
+    rows = first.groupBy("component").agg(F.sum("n").alias("rows"))
+    first = first.join(rows, "component").select("key", "component", "rows")
+    names = free_names(docs, "key", "component", "rows", "row")
+    key, component, rows, row = names
+    kept = docs.withColumn(key, _row_key("doc_id", "text")).join(first.toDF(*names[:3]), key)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    several = kept.where("__rows > 1").groupBy("__component").agg(F.min_by(F.struct(*columns), F.struct("text")).alias("__row"))
-    return kept.where("__rows = 1").select(*columns).unionByName(several.select("__row.*")).unionByName(docs.where("doc_id IS NULL"))
+    several = kept.where(F.col(rows) > 1).groupBy(component).agg(F.min_by(F.struct(*columns), F.struct("text")).alias(row))
+    return kept.where(F.col(rows) == 1).select(*columns).unionByName(several.select(f"{row}.*")).unionByName(docs.where("doc_id IS NULL"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from flowtally.llm import bpe, decontaminate, license_scan, secret_scan, substring_dedup
+from flowtally.llm import bpe, decontaminate, license_scan, secret_scan, simhash, substring_dedup
 from flowtally.llm.queries import vocabulary
 from tests.llm import brute
 from tests.llm.conftest import EDGE_TEXTS
@@ -190,10 +192,70 @@ def test_cut_offs_of_few_tokens():
     few = {(3, 1): {7: 1}, (3, 2): {0: 150, 1: 40, 2: 10, 8: 1}, (3, 3): {last: 1, 6: 1}, (3, 4): {0: 9}}
     got = secret_scan.cut_offs(few, 0.05)
     assert got[3, 1] == got[3, 3] == secret_scan.DEFAULT_CUT and cuts[1] < got[3, 2] <= 0.3 and (3, 4) not in got
-    # never stricter than the plain estimate; from FEW on nothing else counts
     assert secret_scan.cut_offs({(0, 0): {last: 1}}, 0.05)[0, 0] == cuts[0]
-    many = {last: 30, 5: 200, 1: 10}
-    assert secret_scan.cut_offs({(0, 0): many}, 0.05)[0, 0] == secret_scan._first_cut([240, *[230] * 4, *[30] * 5], 30, 0.05)
+
+
+def test_cut_offs_are_one_rule_for_all_sizes():
+    """From 0 to 100 tokens in the upper half, beside any others: one more
+    never raises the cut-off (none at all counts as the highest)."""
+    rng = random.Random(8)
+    last = len(secret_scan.CUTS)
+    sides = [{}, {6: 30, 2: 30}, {5: 200, 1: 10}, {1: 1}, {9: 3}] + [{rng.randrange(last): rng.randrange(60) for _ in range(4)} for _ in range(200)]
+    for side in sides:
+        before = 1.0
+        for n in range(101):
+            cut = secret_scan.cut_offs({(0, 0): {**side, last: n}}, 0.05).get((0, 0), 1.0)
+            assert cut <= before
+            before = cut
+    # 30 tokens of p under 0.01 and 30 between 0.1 and 0.2 beside 19 to 100 random ones
+    assert max(secret_scan.cut_offs({(3, 2): {6: 30, 2: 30, last: n}}, 0.05)[3, 2] for n in range(19, 100)) == 0.02
+    # the bound tends to the plain estimate
+    assert secret_scan._poisson_limit(0) < 3.1 and secret_scan._poisson_limit(10**6) < 1.002e6
+    assert all(secret_scan._poisson_limit(n + 1) >= secret_scan._poisson_limit(n) + 1 for n in range(2000))
+
+
+def battery(token):
+    """Plain Python: the three tests on one token, combined."""
+    import math
+
+    kinds = (r"[0-9a-f]+|[0-9A-F]+", r"[A-Z2-7]+", r"[a-z0-9]+")
+    e = next((i for i, k in enumerate(kinds) if re.fullmatch(k, token)), 3)
+    text = token.lower() if e == 0 else token.replace("-", "+").replace("_", "/") if e == 3 else token
+    a, v = len(secret_scan.ALPHABETS[e]), [secret_scan.ALPHABETS[e].index(c) for c in text]
+    n = len(v)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum(a / n * v.count(s) ** 2 for s in range(a)) - n
+    k = 2 / (9 * (a - 1))
+    p1 = upper(((chi / (a - 1)) ** (1 / 3) - 1 + k) / math.sqrt(k))
+    low = sum(2 * s < a for s in v)
+    m = 2 * low * (n - low)
+    runs = 1 + sum((2 * s < a) != (2 * t < a) for s, t in zip(v, v[1:]))
+    p2 = 2 * upper(max(abs(runs - m / n - 1) - 0.5, 0) / math.sqrt(m * (m - n) / (n * n * (n - 1)))) if m > n else 0
+    mean, square = sum(v) / n, sum(s * s for s in v) - sum(v) ** 2 / n
+    serial = sum(s * t for s, t in zip(v, v[1:])) - n * mean * mean
+    p3 = 2 * upper(abs(serial / square) * math.sqrt(n)) if square else 0
+    return e, n, min(1, 3 * min(p1, p2, p3))
+
+
+def test_battery_of_single_tokens(spark):
+    rng = random.Random(9)
+    tokens = ["a" * 20, "0" * 40, "ab" * 15, "0123456789abcdef" * 2, "DEADBEEF" * 3, "the_quick_brown_fox_jumps", "-_" * 12, "A2" * 12, "zzzzzzzzzzzzzzzzzzzz1"]
+    tokens += ["".join(rng.choice(x) for _ in range(rng.choice([20, 21, 33, 64, 200]))) for x in secret_scan.ALPHABETS for _ in range(25)]
+    frame = spark.createDataFrame([(t,) for t in tokens], "token string")
+    one = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("kind"), F.lit(1).alias("end"), "token"))
+    for r in frame.select("token", F.element_at(secret_scan._battery(one), 1).alias("x")).collect():
+        e, n, p = battery(r.token)
+        assert (r.x.encoding, r.x.n) == (e, n) and abs(r.x.p - p) < 1e-5, r
+
+
+def test_helper_columns_never_replace_a_users(spark, make_docs):
+    clash = {"base": "1", "tokens": "2", "spans": "3", "Key": "4", "component": "5", "rows": "6", "row": "7", "__key": "8", "__spans": "9", "fp": "10"}
+    docs = make_docs([(1, 'token="abcdefghijkl"'), (2, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f g"), (None, None)])
+    docs = docs.selectExpr("*", *(f"'{v}' AS `{k}`" for k, v in clash.items()))
+    for out, n in ((secret_scan.redact_secrets(docs), 5), (simhash.drop_near_duplicates(docs), 4)):
+        got = out.collect()
+        assert out.columns == docs.columns and len(got) == n
+        assert all(r[k] == v for r in got for k, v in clash.items())
 
 
 def test_redaction(make_docs):
