@@ -24,36 +24,35 @@ micro-batch updates the per-(day, category) state.
   half-way is simply written again from the same older versions; readers take
   the newest version of each day.  The version before is kept (a retry starts
   from it), older ones are deleted, so the folder does not grow with the
-  number of batches.
+  number of batches.  A query with a new checkpoint starts a new run of the
+  folder (``runs``): its versions rank above all earlier ones, are merged only
+  with each other, and are shown once it has finished.
   Progress and state live in the stream's checkpoint folder, so a restarted
   query (after a lost driver or executors) resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowtally.functions import cents, from_cents
-from flowtally.session import unique_dir
 from flowtally.sources.tables import TABLE_SCHEMAS
+from flowtally.streaming.runs import current_run, delete, finish_run, forget_runs, list_names, open_run
+from flowtally.streaming.source import BATCH_BYTES, LateRowsWarning, check_zone, file_stream, run_to_end, timed_once
+
+__all__ = ["LateRowsWarning", "current_table", "daily_counts_stream", "run_daily_counts"]
+
+RUN_BITS = 32  # a version's number is its run, then its batch in the run
 
 
 def daily_counts_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """The streaming aggregation (update-mode compatible).  Rows that repeat an
     ``event_id`` within the watermark count once; rows without an id are all
     counted.  Rows without ``ts`` belong to no day and are left out."""
-    timed = (
-        stream.where(F.col("ts").isNotNull())
-        .withColumn("event_time", F.col("ts").cast("timestamp"))
-        .withWatermark("event_time", watermark)
-    )
-    once = timed.where(F.col("event_id").isNotNull()).dropDuplicatesWithinWatermark(["event_id"])
     return (
-        once.unionByName(timed.where(F.col("event_id").isNull()))
+        timed_once(stream, watermark)
         .groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n_events"), F.sum(cents("value")).alias("_vol"))
         .select(
@@ -85,7 +84,7 @@ def _newest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_last", last).where("batch_id = _last").drop("_last")
 
 
-def _merge_writer(out_dir: str):
+def _merge_writer(out_dir: str, run: int = 0):
     def write(batch: DataFrame, batch_id: int) -> None:
         # The micro-batch is computed once (the stateful operators run once),
         # then reused by the emptiness check and the merge.
@@ -93,7 +92,7 @@ def _merge_writer(out_dir: str):
         try:
             if batch.isEmpty():  # e.g. a batch that only advanced the watermark
                 return
-            _merge(batch, batch_id, out_dir)
+            _merge(batch, run << RUN_BITS | batch_id, out_dir)
         finally:
             batch.unpersist()
 
@@ -107,7 +106,8 @@ def _merge(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     touched = [r.day for r in batch.select("day").distinct().collect()]
     existing = _read_result(spark, out_dir)
     if existing is not None:
-        prior = _newest(existing.where(F.col("day").isin(touched) & (F.col("batch_id") < batch_id)))
+        first = batch_id >> RUN_BITS << RUN_BITS  # of this run
+        prior = _newest(existing.where(F.col("day").isin(touched) & F.col("batch_id").between(first, batch_id - 1)))
         updates = prior.select(*updates.columns).unionByName(updates)
     newest = F.max_by(F.struct("n_events", "volume"), "batch_id")
     (
@@ -125,16 +125,29 @@ def _merge(batch: DataFrame, batch_id: int, out_dir: str) -> None:
     _drop_old_versions(spark, [f"{out_dir}/day={day}" for day in touched], batch_id)
 
 
+def _versions(spark: SparkSession, day: str) -> list[int]:
+    """Numbers of the versions in a day's folder, ascending."""
+    return sorted(int(n.split("=")[1]) for n in list_names(spark, day) if n.startswith("batch_id="))
+
+
 def _drop_old_versions(spark: SparkSession, days: list[str], batch_id: int) -> None:
-    """Of each day folder, deletes the versions older than the one before
-    ``batch_id``."""
+    """Of each day folder, deletes this run's versions older than the one
+    before ``batch_id``."""
     for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(day)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        older = sorted(n for n in (int(x.split("=")[1]) for x in names if x.startswith("batch_id=")) if n < batch_id)
+        older = [n for n in _versions(spark, day) if n < batch_id and n >> RUN_BITS == batch_id >> RUN_BITS]
         for n in older[:-1]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={n}"), True)
+            delete(spark, f"{day}/batch_id={n}")
+
+
+def _drop_old_runs(spark: SparkSession, out_dir: str, runs: list[int]) -> None:
+    if not runs:
+        return
+    for name in list_names(spark, out_dir):
+        if name.startswith("day="):
+            for n in _versions(spark, f"{out_dir}/{name}"):
+                if n >> RUN_BITS in runs:
+                    delete(spark, f"{out_dir}/{name}/batch_id={n}")
+    forget_runs(spark, out_dir, runs)
 
 
 def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -142,20 +155,9 @@ def current_table(spark: SparkSession, out_dir: str) -> DataFrame:
     rows = _read_result(spark, out_dir)
     if rows is None:
         rows = spark.createDataFrame([], _RESULT_SCHEMA)
-    return _newest(rows).select("day", "event_type", "n_events", "volume")
-
-
-class LateRowsWarning(UserWarning):
-    """Rows were older than the watermark and are not in the result."""
-
-
-_RETENTION = "spark.sql.streaming.numRecentProgressUpdates"
-
-
-def _late_rows(query) -> int:
-    """Rows the stateful operators of a finished run dropped as late.  Late
-    rows without an id reach them as one per day, category and task."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    run = current_run(spark, out_dir)
+    shown = F.col("batch_id").between(run << RUN_BITS, ((run + 1) << RUN_BITS) - 1)
+    return _newest(rows.where(shown)).select("day", "event_type", "n_events", "volume")
 
 
 def run_daily_counts(
@@ -167,61 +169,34 @@ def run_daily_counts(
     checkpoint_dir: str | None = None,
     schema: str | None = TABLE_SCHEMAS["events"],
     state_partitions: int | None = None,
+    max_bytes_per_trigger: int | None = BATCH_BYTES,
 ) -> DataFrame:
     """Process every file available under ``source`` (a Parquet file or
     folder of the ``events`` schema), then return the result table.
 
     ``schema`` is the source's schema (default: the ``events`` schema; None
-    infers it from the files).  ``state_partitions`` fixes the number of
-    state-store partitions of a new query (AQE cannot coalesce stateful
-    shuffles); it is applied to the session only while the query starts,
-    since a stream copies the session's settings then, and is kept in the
-    checkpoint for restarts.  None uses ``spark.sql.shuffle.partitions``.
+    infers it from the files).  A micro-batch reads ``max_files_per_trigger``
+    files, or by default ``max_bytes_per_trigger``.  ``state_partitions``
+    fixes the number of state-store partitions of a new query (AQE cannot
+    coalesce stateful shuffles); None uses ``spark.sql.shuffle.partitions``.
 
     Rows dropped as late by this run raise a ``LateRowsWarning`` with their
     number, added up over its last 10,000 micro-batches.
 
     Folders default to fresh ones under the shared ``spark.checkpoint.dir``.
-    Passing the same ``out_dir`` and ``checkpoint_dir`` again continues the
-    same query with only the files that arrived since.
+    Passing the same ``checkpoint_dir`` again continues the same query, in its
+    ``out_dir``, with only the files that arrived since.  A new checkpoint
+    reads the whole source again: its result replaces what ``out_dir`` held.
     """
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        raise ValueError("streaming_daily_counts needs spark.sql.session.timeZone=UTC")
-    out_dir = out_dir or unique_dir(spark, "stream-out")
-    checkpoint_dir = checkpoint_dir or unique_dir(spark, "stream-checkpoint")
-    static = (spark.read.schema(schema) if schema else spark.read).parquet(source)
-    reader = spark.readStream.schema(static.schema)
-    source = source.rstrip("/")
-    name = source.rsplit("/", 1)[-1]
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
-        # ``source`` is a single file, but the file source watches folders:
-        # watch its folder, admitting only files with this name.
-        reader = reader.option("pathGlobFilter", name)
-        source = source.rsplit("/", 1)[0]
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    check_zone(spark)
+    out_dir, checkpoint_dir, run = open_run(spark, "stream", out_dir, checkpoint_dir)
+    stream = file_stream(spark, source, schema, max_files_per_trigger, max_bytes_per_trigger)
     writer = (
-        daily_counts_stream(reader.parquet(source), watermark)
+        daily_counts_stream(stream, watermark)
         .writeStream.outputMode("update")
-        .foreachBatch(_merge_writer(out_dir))
+        .foreachBatch(_merge_writer(out_dir, run))
         .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
     )
-    start_conf = {_RETENTION: "10000"}
-    if state_partitions:
-        start_conf["spark.sql.shuffle.partitions"] = str(state_partitions)
-    previous = {key: spark.conf.get(key) for key in start_conf}
-    for key, setting in start_conf.items():
-        spark.conf.set(key, setting)
-    try:
-        query = writer.start()
-    finally:
-        for key, setting in previous.items():
-            spark.conf.set(key, setting)
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(f"stream failed: {query.exception()}")
-    if late := _late_rows(query):
-        warnings.warn(f"{late} rows older than the watermark ({watermark}) were left out", LateRowsWarning, stacklevel=2)
+    run_to_end(spark, writer, watermark, state_partitions)
+    _drop_old_runs(spark, out_dir, finish_run(spark, out_dir, run))
     return current_table(spark, out_dir)

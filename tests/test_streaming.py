@@ -230,3 +230,57 @@ def test_crashed_merge_is_written_again(spark, tmp_path, monkeypatch):
     daily_counts._merge(frame((d1, "b", 2, 2.0)), 2, out)
     assert versions(d1) == ["batch_id=1", "batch_id=2"] and versions(d2) == ["batch_id=0", "batch_id=1"]
     assert table() == [want[0], ("2024-03-01", "b", 2), *want[2:]]
+
+
+def test_new_checkpoint_starts_a_new_run(spark, tmp_path):
+    """A query with a new checkpoint reads everything again; its result
+    replaces the folder's, also where it has fewer batches and days."""
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    os.makedirs(src)
+    rows = lambda ids, day: [(i, T(f"2024-03-{day} 10:00:00"), 1, "click", 1.00, None) for i in ids]
+    for k in range(3):
+        _write(src, f"{k}.parquet", rows(range(2 * k, 2 * k + 2), "01"), 1_700_000_000 + k)
+    run = lambda **a: _result(run_daily_counts(spark, src, out_dir=out, **a))
+    assert run(max_files_per_trigger=1) == {("2024-03-01", "click"): (6, 6.0)}
+    _write(src, "3.parquet", rows(range(10, 15), "01"), 1_700_000_010)
+    assert run() == {("2024-03-01", "click"): (11, 11.0)}
+    # ... and goes on with its own checkpoint, which knows the folder
+    assert run(checkpoint_dir=ckpt) == {("2024-03-01", "click"): (11, 11.0)}
+    _write(src, "4.parquet", rows([20], "02"), 1_700_000_020)
+    assert _result(run_daily_counts(spark, src, checkpoint_dir=ckpt)) == {("2024-03-01", "click"): (11, 11.0), ("2024-03-02", "click"): (1, 1.0)}
+    # a source without the first days: they are gone from the result, and from the disk
+    other = str(tmp_path / "other")
+    os.makedirs(other)
+    _write(other, "0.parquet", rows([1], "02"), 1_700_000_000)
+    assert _result(run_daily_counts(spark, other, out_dir=out)) == {("2024-03-02", "click"): (1, 1.0)}
+    assert os.listdir(f"{out}/day=2024-03-01") == []
+    # the older query may not go on, nor write elsewhere
+    with pytest.raises(ValueError, match="newer query"):
+        run(checkpoint_dir=ckpt)
+    with pytest.raises(ValueError, match="belongs to"):
+        run_daily_counts(spark, src, out_dir=str(tmp_path / "elsewhere"), checkpoint_dir=ckpt)
+
+
+def test_unfinished_run_is_not_shown(spark, tmp_path, monkeypatch):
+    from flowtally.streaming import daily_counts
+
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    os.makedirs(src)
+    _write(src, "0.parquet", [(1, T("2024-03-01 10:00:00"), 1, "click", 1.00, None)], 1_700_000_000)
+    first = _result(run_daily_counts(spark, src, out_dir=out))
+    _write(src, "1.parquet", [(2, T("2024-03-01 10:00:00"), 1, "click", 1.00, None)], 1_700_000_001)
+    with monkeypatch.context() as m:  # dies after its batches, before it is finished
+        m.setattr(daily_counts, "finish_run", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_daily_counts(spark, src, out_dir=out, checkpoint_dir=ckpt)
+    assert _result(current_table(spark, out)) == first
+    assert _result(run_daily_counts(spark, src, checkpoint_dir=ckpt)) == {("2024-03-01", "click"): (2, 2.0)}
+
+
+def test_bounded_batches(spark, tmp_path):
+    """By default a micro-batch is bounded in bytes; the result is the same."""
+    src = str(tmp_path / "in")
+    os.makedirs(src)
+    for k in range(4):
+        _write(src, f"{k}.parquet", [(k, T("2024-03-01 10:00:00"), 1, "click", 1.00, None)], 1_700_000_000 + k)
+    assert _result(run_daily_counts(spark, src, max_bytes_per_trigger=1)) == {("2024-03-01", "click"): (4, 4.0)}
