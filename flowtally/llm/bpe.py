@@ -83,17 +83,17 @@ def _id_type(end: int) -> type:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """Low and high halves apart: most high ones are zero."""
-    return zlib.compress((numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes(), 1)
+    """The numbers' first, second, ... bytes apart: the higher ones are mostly
+    zero."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _numbers(blob: bytes) -> np.ndarray:
-    low, high = np.frombuffer(zlib.decompress(blob), "<u2").reshape(2, -1).astype(np.uint32)
-    return low | high << 16
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
 
 
 class _Bucket:
-    """Word numbers of the documents of one bucket, by first appearance."""
+    """Word numbers of the documents of one bucket."""
 
     def __init__(self, name: str):
         self.index: defaultdict[str, int] = defaultdict()
@@ -113,14 +113,19 @@ class _Bucket:
         """A row of word numbers, then the words of each part.  The name holds
         a digest of the texts: should a lost task's documents come in another
         order the second time, its words and numbers could not be mixed up."""
-        words = [w.encode() for w in self.index]
+        numbers = np.concatenate([np.zeros(0, np.uint32), *self.numbers])
+        # Frequent words get the small numbers.
+        by_count = np.argsort(-np.bincount(numbers, minlength=len(self.index)), kind="stable")
+        rank = np.empty(len(by_count), np.uint32)
+        rank[by_count] = np.arange(len(by_count))
+        known = list(self.index)
+        words = [known[i].encode() for i in by_count.tolist()]
         of = np.array([zlib.crc32(w) % parts for w in words], np.int32)
         order = np.argsort(of, kind="stable")
         full, begin = np.unique(of[order], return_index=True)
         packed = [zlib.compress(SEPARATOR.join([words[i] for i in at.tolist()]), 1) for at in np.split(order, begin[1:])] if words else []
         n, name = len(packed), f"{self.name}-{self.digest.hexdigest()}"
-        numbers = _planes(np.concatenate([np.zeros(0, np.uint32), *self.numbers]))
-        columns = [[name] * (n + 1), [NUMBERS, *full.tolist()], [numbers, *packed], [of, *[None] * n], [self.ids, *[None] * n], [self.sizes, *[None] * n]]
+        columns = [[name] * (n + 1), [NUMBERS, *full.tolist()], [_planes(rank[numbers]), *packed], [of, *[None] * n], [self.ids, *[None] * n], [self.sizes, *[None] * n]]
         types = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in SPLIT.split(", ")])
 
@@ -208,7 +213,7 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
     return split.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every whole text, each match of
     ``pattern`` encoded separately and no special tokens.  Null and empty texts
     have no ids; repeated rows are encoded each."""
@@ -238,7 +243,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 8 << 20) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids
     (decimal, comma-joined) and of the bytes they decode to."""
 
