@@ -11,7 +11,9 @@ from flowtally.operators.aggregates import (
     value_bands,
     weekday_hour_heatmap,
 )
+from flowtally.operators.asof import asof_join, last_before
 from flowtally.operators.flows import line_revenue_units, nation_flows
+from flowtally.operators.intervals import followups, interval_join, overlap_join
 from flowtally.operators.quantiles import exact_quantiles
 from flowtally.operators.series import (
     cumulative_activity,
@@ -20,6 +22,7 @@ from flowtally.operators.series import (
     gap_filled_daily,
     moving_average,
 )
+from flowtally.operators.sessions import user_sessions
 from flowtally.operators.users import (
     new_and_active_users,
     top_users,
@@ -29,6 +32,7 @@ from flowtally.operators.users import (
 
 __all__ = [
     "activity_by_period",
+    "asof_join",
     "category_pivot",
     "category_share",
     "cumulative_activity",
@@ -37,15 +41,20 @@ __all__ = [
     "day_over_day_change",
     "exact_quantiles",
     "filtered_period",
+    "followups",
     "gap_filled_daily",
+    "interval_join",
     "json_key_counts",
     "kpi_totals",
+    "last_before",
     "line_revenue_units",
     "moving_average",
     "nation_flows",
     "new_and_active_users",
+    "overlap_join",
     "top_users",
     "top_users_per_category",
+    "user_sessions",
     "value_bands",
     "weekday_hour_heatmap",
     "weekly_retention",

@@ -21,6 +21,11 @@ PERIOD_END = "2024-01-15 00:00:00"
 PERIOD_CATEGORIES = ("purchase", "signup")
 JSON_KEY = "k"
 QUANTILE_PROBS = (0.25, 0.5, 0.75, 0.95)
+MARKED_CATEGORY, MARK_CATEGORY = "purchase", "view"
+CAUSE_CATEGORY = "error"
+FOLLOWUP_MICROS = 3_600_000_000
+SESSION_GAP_MICROS = 1_800_000_000
+STREAM_CAUSE, STREAM_EFFECT = "click", "purchase"
 TOP_USERS = 10
 TOP_USERS_PER_CATEGORY = 3
 MOVING_DAYS = 7
@@ -54,6 +59,20 @@ def streaming_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def streaming_sessions(spark: SparkSession, d: str) -> DataFrame:
+    from flowtally.streaming.sessions import run_sessions
+
+    parts = spark.sparkContext.defaultParallelism
+    return run_sessions(spark, table_path(d, "events"), gap=SESSION_GAP_MICROS, state_partitions=parts).drop("closed")
+
+
+def streaming_attribution(spark: SparkSession, d: str) -> DataFrame:
+    from flowtally.streaming.attribution import run_attribution
+
+    parts = spark.sparkContext.defaultParallelism
+    return run_attribution(spark, table_path(d, "events"), STREAM_CAUSE, STREAM_EFFECT, FOLLOWUP_MICROS, state_partitions=parts)
+
+
 QUERIES: dict[str, Query] = {
     "kpi_totals": _on_events(ops.kpi_totals),
     "activity_by_day": _on_events(lambda df: ops.activity_by_period(df, "day")),
@@ -79,4 +98,9 @@ QUERIES: dict[str, Query] = {
     "day_category_rollup": _on_events(ops.day_category_rollup),
     "gap_filled_daily": _on_events(ops.gap_filled_daily),
     "streaming_daily_counts": streaming_daily_counts,
+    "last_view_before_purchase": _on_events(lambda df: ops.last_before(df, MARKED_CATEGORY, MARK_CATEGORY)),
+    "error_followups": _on_events(lambda df: ops.followups(df, CAUSE_CATEGORY, FOLLOWUP_MICROS)),
+    "user_sessions": _on_events(lambda df: ops.user_sessions(df, SESSION_GAP_MICROS)),
+    "streaming_sessions": streaming_sessions,
+    "streaming_attribution": streaming_attribution,
 }

@@ -4,13 +4,20 @@ types), used as the correctness oracle on the same Parquet tables."""
 from __future__ import annotations
 
 from flowtally.plans.catalog import (
+    CAUSE_CATEGORY,
+    FOLLOWUP_MICROS,
     JSON_KEY,
+    MARK_CATEGORY,
+    MARKED_CATEGORY,
     MOVING_DAYS,
     PERIOD_CATEGORIES,
     PERIOD_END,
     PERIOD_START,
     PIVOT_CATEGORIES,
     QUANTILE_PROBS,
+    SESSION_GAP_MICROS,
+    STREAM_CAUSE,
+    STREAM_EFFECT,
     TOP_USERS,
     TOP_USERS_PER_CATEGORY,
 )
@@ -79,6 +86,15 @@ SELECT {_period(grain)} AS bucket_start, count(*) AS n_events, {VOL} AS volume
 FROM events GROUP BY 1"""
 
 
+_SECONDS = "CAST(epoch_us({}) - epoch_us({}) AS DOUBLE) / 1e6"
+
+_SESSIONS = f"""
+WITH e AS (SELECT user_id, ts, value, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > {SESSION_GAP_MICROS} AS brk
+           FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (SELECT *, count_if(coalesce(brk, false)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events, {VOL} AS volume
+FROM s GROUP BY user_id, session"""
+
 ORACLE_SQL: dict[str, str] = {
     "kpi_totals": f"""
 SELECT count(*) AS n_events, {VOL} AS volume, count(DISTINCT user_id) AS n_users,
@@ -193,4 +209,20 @@ SELECT day, n_events, CAST(vol AS DOUBLE) AS volume FROM f""",
     "streaming_daily_counts": f"""
 SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events, {VOL} AS volume
 FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
+    "last_view_before_purchase": f"""
+SELECT p.event_id, p.user_id, p.ts, v.event_id AS last_event_id, v.ts AS last_ts, {_SECONDS.format('p.ts', 'v.ts')} AS seconds_since
+FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = '{MARKED_CATEGORY}') p
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events
+                WHERE event_type = '{MARK_CATEGORY}' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) v
+ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "error_followups": f"""
+SELECT c.event_id AS cause_id, e.event_id, e.event_type, {_SECONDS.format('e.ts', 'c.ts')} AS seconds_after
+FROM events c JOIN events e ON e.user_id = c.user_id AND e.ts >= c.ts AND epoch_us(e.ts) < epoch_us(c.ts) + {FOLLOWUP_MICROS} AND e.event_id <> c.event_id
+WHERE c.event_type = '{CAUSE_CATEGORY}'""",
+    "user_sessions": _SESSIONS,
+    "streaming_sessions": _SESSIONS,
+    "streaming_attribution": f"""
+SELECT c.user_id, c.event_id AS cause_id, e.event_id AS effect_id, c.ts AS cause_ts, e.ts AS effect_ts
+FROM events c JOIN events e ON e.user_id = c.user_id AND e.ts >= c.ts AND epoch_us(e.ts) < epoch_us(c.ts) + {FOLLOWUP_MICROS}
+WHERE c.event_type = '{STREAM_CAUSE}' AND e.event_type = '{STREAM_EFFECT}'""",
 }

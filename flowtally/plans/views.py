@@ -8,16 +8,18 @@ from pyspark.sql import SparkSession
 
 from flowtally.plans.catalog import QUERIES
 
-# Running the stream is an action, so it is not registered unless asked for.
-STREAMING = ("streaming_daily_counts",)
+# Running a stream is an action, so these are not registered unless asked for.
+STREAMING = ("streaming_daily_counts", "streaming_sessions", "streaming_attribution")
 
 
 def register_query_views(
     spark: SparkSession, table_dir: str, names: Iterable[str] | None = None
 ) -> list[str]:
-    """Create a temp view per query (lazy: nothing runs until the view is
-    read), so dashboards can ``spark.sql("SELECT ... FROM nation_flows ...")``
-    and Catalyst optimizes the view together with the outer query."""
+    """Create a temp view per query, so dashboards can
+    ``spark.sql("SELECT ... FROM nation_flows ...")`` and Catalyst optimizes
+    the view together with the outer query.  Nothing runs until a view is read,
+    but for two queries that run a job when they are set up: the ranks of
+    ``value_quantiles`` and the interval lengths of ``error_followups``."""
     chosen = list(names) if names is not None else [n for n in QUERIES if n not in STREAMING]
     for name in chosen:
         QUERIES[name](spark, table_dir).createOrReplaceTempView(name)
