@@ -1,14 +1,17 @@
 """Language identification with a bidirectional gated recurrent network.
 
 The network reads bytes.  Its state starts anew at every word (a run of bytes
-without white space, with a space on either side; runs over ``SEGMENT`` bytes
-are cut into several), so a word's result does not depend on its neighbours and
-is computed once per worker for all its occurrences.  Every byte position gets
-a distribution over the languages; a document's is the mean over all positions
-of the whole text.
+without white space, with a space on either side), so a word's result does not
+depend on its neighbours and is computed once per worker for all its
+occurrences.  A word over ``SEGMENT`` bytes, such as a text without blanks, is
+read in windows that begin and end between characters and see ``CONTEXT`` bytes
+beyond either end.  Every byte position gets a distribution over the languages;
+a document's is the mean over all positions of the whole text.
 
 It is trained in numpy by backpropagation through time on a bounded sample of
-labelled documents; prediction runs in Arrow batches on the executors.
+labelled documents; prediction runs in Arrow batches on the executors.  Words
+are evaluated in tiles of fixed size, so that a score does not depend on which
+others are evaluated with it, nor on the partitions of the table.
 """
 
 from __future__ import annotations
@@ -23,24 +26,40 @@ from pyspark.sql import functions as F
 from flowtally.llm.common import held_out, text_pieces
 from flowtally.llm.words import hash_words, in_sorted, word_edges
 
-SEGMENT = 24
+SEGMENT = 64  # bytes of a word read at once
+CONTEXT = 16  # bytes of a longer word seen on either side of a window
+TILE = 256  # words evaluated together
 LETTER = re.compile(rb"[A-Za-z]")
 
 
-def cut_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the words of ``data``, long ones in pieces."""
-    start, end = word_edges(np.frombuffer(data, np.uint8))
-    size = end - start
-    pieces = -(-size // SEGMENT)
-    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start, left = np.repeat(start, pieces) + nth * SEGMENT, np.repeat(size, pieces) - nth * SEGMENT
-    return start, np.minimum(left, SEGMENT)
+def _between(word: bytes, at: int) -> int:
+    """``at``, or the beginning of the character that it falls into."""
+    for k in range(at, max(at - 4, 0), -1):
+        if word[k] & 0xC0 != 0x80:
+            return k
+    return at
+
+
+def windows(word: bytes) -> list[tuple[bytes, int, int]]:
+    """``(bytes, lead, tail)``: the windows of a framed word; its first
+    ``lead`` and last ``tail`` bytes are context."""
+    framed = b" " + word + b" "
+    cuts = [0, *(_between(framed, k) for k in range(SEGMENT, len(framed) - 3, SEGMENT)), len(framed)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        low = _between(framed, a - CONTEXT) if a > CONTEXT else 0
+        high = _between(framed, b + CONTEXT) if b + CONTEXT < len(framed) else len(framed)
+        out.append((framed[low:high], a - low, high - b))
+    return out
 
 
 def segments(text: bytes) -> list[bytes]:
-    """Words of a whole text, A-Z in lower case."""
-    text = text.lower()
-    return [text[a : a + n] for a, n in zip(*(x.tolist() for x in cut_words(text)))]
+    """Words of a whole text for training, A-Z in lower case; of long words the
+    windows without context."""
+    out = []
+    for word in text.lower().split():
+        out += [word] if len(word) <= SEGMENT else [w[lead : len(w) - tail].strip() for w, lead, tail in windows(word)]
+    return [w for w in out if w]
 
 
 def _sigmoid(x):
@@ -129,16 +148,24 @@ class ByteTagger:
             named |= {f"{name}.{k}": v for k, v in g.p.items()}
         return named
 
-    def position_sums(self, words: np.ndarray) -> np.ndarray:
+    def position_sums(self, words: np.ndarray, lead: int = 0, tail: int = 0) -> np.ndarray:
         """Probabilities of the languages, summed over the positions of words
-        of one length (rows, steps), as bytes: (rows, languages)."""
+        of one length (rows, steps), as bytes, without the first ``lead`` and
+        last ``tail``: (rows, languages)."""
+        out = [self._tile_sums(words[k : k + TILE], lead, tail) for k in range(0, len(words), TILE)]
+        return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
+
+    def _tile_sums(self, words: np.ndarray, lead: int, tail: int) -> np.ndarray:
+        n = len(words)
+        if n < TILE:  # the same arithmetic for any number of rows
+            words = np.concatenate([words, np.zeros((TILE - n, words.shape[1]), np.uint8)])
         ahead, back = self.ahead.run(self.emb, words.T), self.back.run(self.emb, words.T[::-1])[::-1]
-        total = np.zeros((len(self.languages), len(words)), np.float32)
-        for a, b in zip(ahead, back):
+        total = np.zeros((len(self.languages), TILE), np.float32)
+        for a, b in zip(ahead[lead : len(ahead) - tail], back[lead : len(back) - tail]):
             e = self.out.T @ np.concatenate([a, b]) + self.bias[:, None]
             e = np.exp(e - e.max(axis=0))
             total += e / e.sum(axis=0)
-        return total.T
+        return total.T[:n]
 
     def gradients(self, words: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over all positions, and its gradients."""
@@ -200,24 +227,30 @@ class WordScores:
         self.table = np.zeros((0, len(model.languages) + 1), np.float32)  # sums, and positions
 
     def _evaluate(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        out = np.empty((len(start), self.table.shape[1]), np.float32)
-        for n in np.unique(size):
+        out = np.zeros((len(start), self.table.shape[1]), np.float32)
+        for n in np.unique(size[size <= SEGMENT]):
             at = np.flatnonzero(size == n)
-            for i in range(0, len(at), 1024):
-                some = at[i : i + 1024]
-                out[some, :-1] = self.model.position_sums(_framed(data[start[some][:, None] + np.arange(n)]))
-            out[at, -1] = n + 2
+            out[at, :-1] = self.model.position_sums(_framed(data[start[at][:, None] + np.arange(n)]))
+        shapes: dict[tuple[int, int, int], list[tuple[int, bytes]]] = {}
+        for row in np.flatnonzero(size > SEGMENT).tolist():
+            for w, lead, tail in windows(data[start[row] : start[row] + size[row]].tobytes()):
+                shapes.setdefault((len(w), lead, tail), []).append((row, w))
+        for (n, lead, tail), found in sorted(shapes.items()):
+            sums = self.model.position_sums(np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, n), lead, tail)
+            np.add.at(out[:, :-1], [row for row, _ in found], sums)
+        out[:, -1] = size + 2
         return out
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean distribution over all positions of each text (zeros for a text
         without words)."""
         joined = b" ".join(texts).lower()
-        start, size = cut_words(joined)
+        data = np.frombuffer(joined, np.uint8)
+        start, end = word_edges(data)
+        size = end - start
         out = np.zeros((len(texts), len(self.model.languages)))
         if not len(start):
             return out
-        data = np.frombuffer(joined, np.uint8)
         h, at, inverse = np.unique(hash_words(data, start, start + size, 1), return_index=True, return_inverse=True)
         known = in_sorted(h, self.hashes)
         if len(self.hashes) + np.count_nonzero(~known) > self.limit:

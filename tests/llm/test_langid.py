@@ -1,0 +1,97 @@
+"""The language network against a plain forward pass, and its odd inputs."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from flowtally.llm import langid
+from tests.llm.conftest import EDGE_TEXTS
+
+MODEL = langid.ByteTagger(["aa", "bb", "cc"], seed=4)
+
+
+def plain(text: str) -> np.ndarray | None:
+    """Mean distribution over the positions, one word at a time in double
+    precision."""
+    total, n = np.zeros(3), 0
+    for word in text.encode().lower().split():
+        for w, lead, tail in [(b" " + word + b" ", 0, 0)] if len(word) <= langid.SEGMENT else langid.windows(word):
+            x = MODEL.emb[np.frombuffer(w, np.uint8)][:, None]
+            both = np.concatenate([MODEL.ahead.forward(x), MODEL.back.forward(x[::-1])[::-1]], axis=2)[:, 0]
+            e = np.exp(both @ MODEL.out + MODEL.bias)
+            p = (e / e.sum(axis=1, keepdims=True))[lead : len(w) - tail]
+            total, n = total + p.sum(axis=0), n + len(p)
+    return total / n if n else None
+
+
+def texts():
+    rng = random.Random(3)
+    words = ["a", "Bc", "naïve", "日本語" * 40, "x" * 63, "y" * 64, "z" * 65, "é" * 500, "\U0001f600" * 33, "don't", "q" * 5000]
+    return [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 9, 60]))) for _ in range(60)] + ["ab " * 40_000, "w" * 60_000]
+
+
+def test_windows_cover_a_word_once():
+    for word in ("é" * 200, "a" * 65, "日本" * 100, "\U0001f600" * 50, "x" * 64 + "é"):
+        found = langid.windows(word.encode())
+        cores = [w[lead : len(w) - tail] for w, lead, tail in found]
+        assert b"".join(cores) == b" " + word.encode() + b" "
+        for (w, lead, tail), core in zip(found, cores):
+            core.decode(), w.decode()  # cut between characters
+            assert len(core) <= langid.SEGMENT + 6 and lead <= langid.CONTEXT + 3 and tail <= langid.CONTEXT + 3
+    # bytes that are no UTF-8 are cut somewhere
+    assert b"".join(w[lead : len(w) - tail] for w, lead, tail in langid.windows(b"\x80" * 500)) == b" " + b"\x80" * 500 + b" "
+
+
+def test_pooling_equals_a_plain_forward_pass():
+    data = texts()
+    got = langid.WordScores(MODEL).documents([t.encode() for t in data])
+    for t, p in zip(data, got):
+        assert np.abs(p - plain(t)).max() < 1e-5
+
+
+def test_long_words_see_beyond_their_window():
+    """A window's result hardly differs from that of the whole word."""
+    word = ("sprachen" * 30).encode()
+    x = MODEL.emb[np.frombuffer(b" " + word + b" ", np.uint8)][:, None]
+    whole = np.concatenate([MODEL.ahead.forward(x), MODEL.back.forward(x[::-1])[::-1]], axis=2)[:, 0]
+    e = np.exp(whole @ MODEL.out + MODEL.bias)
+    want = (e / e.sum(axis=1, keepdims=True)).mean(axis=0)
+    assert np.abs(langid.WordScores(MODEL).documents([word])[0] - want).max() < 1e-3
+
+
+def test_scores_do_not_depend_on_partitions(make_docs):
+    data = list(enumerate(texts() * 2))
+    results = [sorted(map(tuple, langid.predict_language(make_docs(data, parts), MODEL).collect())) for parts in (1, 3, 11)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_odd_documents(spark, make_docs):
+    docs = make_docs(EDGE_TEXTS * 2).selectExpr("*", "'x' AS held_out", "1 AS score", "'y' AS lang_pred", "2 AS label")
+    got = langid.predict_language(docs, MODEL).collect()
+    assert len(got) == 2 * len(EDGE_TEXTS)
+    by_text = dict(zip(map(str, EDGE_TEXTS), EDGE_TEXTS))
+    for doc_id, text in by_text.values():
+        known = bool(text) and any(map(str.isalpha, text))
+        same = {tuple(r) for r in got if r.doc_id == doc_id}
+        p = plain(text) if known else None
+        want = MODEL.languages[int(p.argmax())] if known else "und"
+        assert any(r[2] == want and abs(r[3] - (p.max() if known else 0)) < 1e-5 for r in same)
+    assert langid.predict_language(docs.limit(0), MODEL).collect() == []
+    assert langid.fit_language_id(docs.limit(0)) is None and langid.identify_languages(docs.limit(0)).collect() == []
+
+
+def test_null_and_repeated_ids_are_trained_on(make_docs):
+    rows = [(None if i % 5 == 0 else i // 2, "der die das und ist" if i % 2 else "the and of to is") for i in range(60)]
+    docs = make_docs(rows).selectExpr("doc_id", "text", "if(text like 'der%', 'de', 'en') AS lang")
+    assert {r.lang_pred for r in langid.identify_languages(docs).collect()} == {"de", "en"}
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_training_is_deterministic(make_docs, seed):
+    rows = [(i, "der die das und ist" if i % 2 else "the and of to is") for i in range(40)]
+    docs = make_docs(rows).selectExpr("doc_id", "text", "if(text like 'der%', 'de', 'en') AS lang")
+    a, b = (langid.fit_language_id(docs.repartition(n), steps=20, seed=seed) for n in (1, 4))
+    assert all((x == y).all() for x, y in zip(a._parameters().values(), b._parameters().values()))
