@@ -280,7 +280,7 @@ def labelled_sample(docs: DataFrame, per_label: int, label_col: str, id_col: str
     counts = {r[label_col]: r["n"] for r in docs.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return docs.limit(0)
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * per_label / n + 0.001))))
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * per_label / n))))
     draw = F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1 << 30)) / (1 << 30)
     rank = F.row_number().over(Window.partitionBy(label_col).orderBy("__draw", "text"))
     return (

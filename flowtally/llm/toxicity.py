@@ -5,7 +5,10 @@ bytes of a longer word), in lower case and with punctuation as blanks.  It is fi
 documents.  For every one a counterfactual is made: each identity term is
 swapped for another of its group; a text without any gets a neutral mention.
 The squared difference of the two scores (before the logistic function) is part
-of the loss, so that a group's name alone moves no score.
+of the loss, so that a group's name alone moves no score.  The groups are a
+parameter (by default words of four languages), since a term that no labelled
+text holds cannot be learnt and so need not be swapped; the fitted model says
+how many texts were swapped.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ SIGNIFICANT = 24.0  # G-squared at about one in a million, for the many features
 FILTER_BITS = 20
 LETTERS = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-# Identity terms, in groups whose members stand for each other.
+# Identity terms in English, German, Spanish and French, in groups
+# whose members stand for each other.
 IDENTITY_GROUPS = (
     ("women", "men"),
     ("woman", "man"),
@@ -37,23 +41,56 @@ IDENTITY_GROUPS = (
     ("immigrant", "native", "refugee"),
     ("disabled", "blind", "deaf"),
     ("old", "young"),
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("schwul", "lesbisch", "bisexuell", "transsexuell"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("einwanderer", "flüchtling", "einheimischer"),
+    ("behindert", "blinde", "gehörlos"),
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("homosexual", "heterosexual", "lesbiana", "bisexual", "transexual"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("negro", "blanco", "asiático", "africano", "europeo"),
+    ("inmigrante", "refugiado", "nativo"),
+    ("discapacitado", "ciego", "sordo"),
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("homosexuel", "hétérosexuel", "lesbienne", "bisexuel", "transgenre"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noir", "blanc", "asiatique", "africain", "européen"),
+    ("immigré", "réfugié", "natif"),
+    ("handicapé", "aveugle", "sourd"),
 )
-_OTHER = {t.encode(): g[(i + 1) % len(g)].encode() for g in IDENTITY_GROUPS for i, t in enumerate(g)}
-_TERM = re.compile(rb"\b(" + b"|".join(sorted(_OTHER, key=len, reverse=True)) + rb")\b")
 
 
-def normalised(data: bytes | None) -> bytes:
-    return (data or b"").translate(LETTERS)
+class Swaps:
+    """Counterfactuals of normalised texts by groups of identity terms."""
+
+    def __init__(self, groups=IDENTITY_GROUPS):
+        self.other: dict[bytes, bytes] = {}
+        for g in groups:
+            for i, t in enumerate(g):  # a term of several groups is swapped in the first
+                self.other.setdefault(normalised(t.encode()).strip(), normalised(g[(i + 1) % len(g)].encode()).strip())
+        self.terms = list(self.other)
+        found = b"|".join(map(re.escape, sorted(self.other, key=len, reverse=True)))
+        self.pattern = re.compile(rb"(?<![^ ])(" + found + rb")(?![^ ])") if self.other else None
+
+    def holds(self, text: bytes) -> bool:
+        return bool(self.pattern and self.pattern.search(text))
 
+    def counterfactual(self, text: bytes, nth: int) -> bytes:
+        """``text`` with every identity term swapped; one without any gets a
+        mention, another one for each ``nth``."""
+        if not self.pattern:
+            return text
+        swapped, n = self.pattern.subn(lambda m: self.other[m[1]], text)
+        return swapped if n else text + b" " + self.terms[nth % len(self.terms)] + b" "
 
-def counterfactual(text: bytes, nth: int) -> bytes:
-    """``text`` (normalised) with every identity term swapped; one without any
-    gets a mention, another one for each ``nth``."""
-    swapped, n = _TERM.subn(lambda m: _OTHER[m[1]], text)
-    if n:
-        return swapped
-    terms = list(_OTHER)
-    return text + b" " + terms[nth % len(terms)] + b" "
+
+def normalised(data: bytes | None) -> bytes:
+    return (data or b"").translate(LETTERS)
 
 
 def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +137,11 @@ class Presence:
 
 
 class ToxicityModel:
-    """Weights of the chosen features."""
+    """Weights of the chosen features; ``swapped`` of the training texts held
+    identity terms, and ``moved`` counterfactuals differ in a feature."""
 
-    def __init__(self, presence: Presence, weight: np.ndarray, bias: float):
-        self.presence, self.weight, self.bias = presence, weight, bias
+    def __init__(self, presence: Presence, weight: np.ndarray, bias: float, swapped: int = 0, moved: int = 0):
+        self.presence, self.weight, self.bias, self.swapped, self.moved = presence, weight, bias, swapped, moved
 
     def scores(self, data: list[bytes | None]) -> np.ndarray:
         """Probability of label 1 for whole texts."""
@@ -150,19 +188,20 @@ def _likelihood_ratio(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 1024, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 600) -> ToxicityModel:
+def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 1024, penalty: float = 1.0, ridge: float = 1e-5, steps: int = 600, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """Selects the features whose presence tells most (and significantly) about
     the label and fits
     logistic loss + ``penalty`` x mean squared counterfactual change + ``ridge``."""
-    texts = [normalised(t) for t in texts]
+    texts, swaps = [normalised(t) for t in texts], Swaps(groups)
+    swapped = sum(map(swaps.holds, texts))
     candidates, seen = _counts(texts, labels)
     gain = _likelihood_ratio(seen, np.bincount(labels, minlength=2))
     best = np.argsort(-gain, kind="stable")[:features]
     presence = Presence(candidates[best[gain[best] >= SIGNIFICANT]])
     if not len(presence.features):
         share = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6))
-        return ToxicityModel(presence, np.zeros(1), math.log(share / (1 - share)))
-    x, other = _dense(texts, presence), _dense([counterfactual(t, i) for i, t in enumerate(texts)], presence)
+        return ToxicityModel(presence, np.zeros(1), math.log(share / (1 - share)), swapped)
+    x, other = _dense(texts, presence), _dense([swaps.counterfactual(t, i) for i, t in enumerate(texts)], presence)
     change, y = other - x, labels.astype(np.float32)
     w, b, n = np.zeros(x.shape[1], np.float32), 0.0, len(y)
     share = (1 / (2 * np.bincount(labels, minlength=2).clip(1)))[labels].astype(np.float32)  # both labels weigh the same
@@ -176,10 +215,10 @@ def fit_model(texts: list[bytes], labels: np.ndarray, features: int = 1024, pena
         f, v = 1 - 0.9**step, 1 - 0.99**step
         w = w - 0.1 * (m / f) / (np.sqrt(s / v) + 1e-8)
         b -= 0.1 * (mb / f) / (math.sqrt(sb / v) + 1e-8)
-    return ToxicityModel(presence, w.astype(np.float64), b)
+    return ToxicityModel(presence, w.astype(np.float64), b, swapped, int(change.any(axis=1).sum()))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityModel | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000, groups=IDENTITY_GROUPS) -> ToxicityModel | None:
     """Model from at most ``per_label`` documents of each label; ``labels``
     rows that are held out or null, and labels of unknown documents or of ones
     without a text, are left out before the draw.  None without labelled documents."""
@@ -196,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> T
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
-    return fit_model([r.text.encode() for r in rows], np.array([r.toxic for r in rows]))
+    return fit_model([r.text.encode() for r in rows], np.array([r.toxic for r in rows]), groups=groups)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +256,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: floa
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the training labels and score every document."""
+    """Fit on the training labels and score every document.  Null and empty
+    texts are scored like any other; repeated rows, and rows with a null id
+    (never held out), are scored each; without labelled documents every score
+    is 0; columns that are not named are never read."""
     return score_toxicity(docs, fit_toxicity(docs, labels))
 
 

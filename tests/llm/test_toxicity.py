@@ -1,0 +1,103 @@
+"""The toxicity classifier against plain Python, its counterfactuals, and odd
+inputs."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+
+from flowtally.llm import toxicity
+from tests.llm.conftest import EDGE_TEXTS
+
+
+def corpus(n, term_share, seed, terms=("muslimisch", "christlich")):
+    """German-like texts; one term goes along with the label, though only the
+    vile word makes a text toxic."""
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for i in range(n):
+        y = i % 2
+        words = [f"wort{rng.choice('abcdefghijklmnop')}{rng.choice('abcdefgh')}" for _ in range(20)]
+        if rng.random() < term_share:
+            words.append(terms[0] if rng.random() < (0.9 if y else 0.1) else terms[1])
+        if y and rng.random() < 0.8:
+            words.append("schimpfwort")
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(y)
+    return texts, np.array(labels)
+
+
+def change(model, texts, swaps):
+    """Mean change of the score before the logistic function, over the texts
+    that hold a term, when the terms are swapped."""
+    logit = lambda t: np.log(model.scores(t) / (1 - model.scores(t)))
+    own = [toxicity.normalised(t.encode()) for t in texts]
+    own = [t for t in own if swaps.holds(t)]
+    return float(np.abs(logit([swaps.counterfactual(t, 0) for t in own]) - logit(own)).mean())
+
+
+def test_penalty_on_held_out_swaps():
+    """Terms of the corpus' language are swapped in the training texts; on
+    other texts the swap moves scores far less with the penalty, and the
+    accuracy stays."""
+    texts, labels = corpus(1200, 0.8, 1)
+    held, truth = corpus(600, 0.8, 2)
+    raw = [t.encode() for t in texts]
+    free, fair = (toxicity.fit_model(raw, labels, penalty=p) for p in (0.0, 10.0))
+    assert free.swapped == fair.swapped > 800 and fair.moved > 800
+    swaps = toxicity.Swaps()
+    assert change(fair, held, swaps) < 0.2 * change(free, held, swaps)
+    right = [((m.scores([t.encode() for t in held]) >= 0.5) == truth).mean() for m in (free, fair)]
+    assert right[1] > 0.85
+    # a neutral mention alone is no sign of the label
+    neutral = [f"wortaa wortbb {t}".encode() for t in ("muslimisch", "christlich")]
+    assert fair.scores(neutral).max() < 0.5
+
+
+def test_groups_are_a_parameter():
+    texts, labels = corpus(400, 0.5, 3, ("quendisch", "sindarisch"))
+    raw = [t.encode() for t in texts]
+    assert toxicity.fit_model(raw, labels).swapped == 0
+    groups = (("Quendisch", "Sindarisch"),)
+    assert toxicity.fit_model(raw, labels, groups=groups).swapped == sum("disch" in t or "darisch" in t for t in texts)
+    assert toxicity.fit_model(raw, labels, groups=()).moved == 0
+
+
+def test_swaps():
+    swaps = toxicity.Swaps()
+    swap = lambda t: swaps.counterfactual(toxicity.normalised(t.encode()), 3).decode()
+    assert swap("Women, men and Männer!") == "men  women and frauen "
+    assert swap("ein womens Weiße weißer") == "ein womens asiatische weißer"
+    assert swap("nothing") == f"nothing {swaps.terms[3].decode()} "
+    assert all(swaps.other[t] != t for t in swaps.terms)
+
+
+def test_scores_against_plain_python():
+    texts, labels = corpus(300, 0.5, 4)
+    model = toxicity.fit_model([t.encode() for t in texts], labels)
+    weight = dict(zip(model.presence.features.tolist(), model.weight.tolist()))
+    for text in [*texts[:40], "", "SCHIMPFWORT!schimpfwort", "x " * 5000 + "schimpfwort", "é ü 123", *(t for _, t in EDGE_TEXTS if t)]:
+        seen = set()
+        for word in toxicity.normalised(text.encode()).split(b" "):
+            if word:
+                seen.update(toxicity.text_features([word])[1].tolist())
+        z = sum(weight.get(h, 0.0) for h in seen) + model.bias
+        assert abs(model.scores([text.encode()])[0] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_odd_documents(spark, make_docs):
+    texts, y = corpus(200, 0.5, 5)
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, (_, t) in enumerate(EDGE_TEXTS)] + [(None, texts[1]), (None, None), (5, texts[5])]
+    docs.append((2000, "schimpfwort " * 50_000))
+    frame = make_docs(docs).selectExpr("*", "1 AS toxic", "'a' AS held_out", "2 AS score", "3 AS predicted", "4 AS `__draw`")
+    labels = spark.createDataFrame([(i, int(v), 1, "x") for i, v in enumerate(y)] + [(None, 1, 1, "x"), (3, None, 1, "x"), (7, 1, 1, "x")], "doc_id long, toxic int, quality int, text string")
+    got = toxicity.toxicity(frame, labels).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert [r.predicted for r in got if r.doc_id == 2000] == [1]
+    assert toxicity.toxicity(frame.limit(0), labels).collect() == []
+    assert {r.score for r in toxicity.toxicity(frame, labels.limit(0)).collect()} == {0.0}
+    kept = toxicity.drop_toxic(frame, toxicity.fit_toxicity(frame, labels))
+    assert kept.columns == frame.columns and kept.count() == sum(not r.predicted for r in got)
