@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express over whole tables.
 
-The others (64-bit shingle hashes, base32, byte-pair merges, fitted models and
-learnt indexes) are tested against plain Python in ``tests/llm``.
+The others (64-bit shingle hashes, byte-pair merges, fitted models and scans
+with learnt cut-offs) are tested against plain Python in ``tests/llm``.
 """
 
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -45,6 +45,23 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, s
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+             list_transform(string_split(sha1(h), ''), lambda c: instr('0123456789abcdef', c) - 1) AS d FROM p),
+y AS (
+  SELECT page_id, payload_bytes, list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((d[5 * i // 4 + 1] * 16 + d[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31) + 1, 1)) AS b
+  FROM x
+),
+r AS (SELECT page_id, payload_bytes, array_to_string(b, '') AS payload_digest FROM y),
+l AS (SELECT payload_digest, max(page_id) AS latest FROM r GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN latest IS NOT NULL AND page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM r JOIN l USING (payload_digest)
+"""
+
 _VECTORS = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
@@ -154,6 +171,7 @@ FROM s GROUP BY 1
 
 
 ORACLE_SQL = {
+    "op2_warc": _WARC,
     "op3_decontamination": _DECONTAMINATION,
     "op6_embedding_dedup": _VECTORS,
     "op8_substring_dedup": _SUBSTRINGS,

@@ -30,13 +30,16 @@ from flowtally.llm.common import checkpoint
 from flowtally.session import unique_dir
 
 PIECE = 1 << 20
+INDEX_BYTES = 4 << 20  # index lines of one member: far below 16 MiB, so it ends in a zero byte
+FILE_BYTES = 256 << 20  # records of one written archive, before compression
 CRLF = b"\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, records_per_file: int = 10_000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, records_per_file: int | None = None, date: str = "2024-01-01T00:00:00Z") -> None:
     """One response record per row of ``pages(page_id, url, html)`` under
     ``path``, whole files gzipped as one stream of at most ``records_per_file``
-    records.  Null html is an empty payload, a null url an empty one; line
+    records (by default 10,000, or as many as make ``FILE_BYTES`` at the mean
+    size of a page if that is fewer).  Null html is an empty payload, a null url an empty one; line
     ends in a url are dropped."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     http = F.concat(
@@ -55,6 +58,9 @@ def write_warc(pages: DataFrame, path: str, records_per_file: int = 10_000, date
         http,
         body,
     )
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length(body))).first()[0] or 0
+        records_per_file = max(1, min(10_000, int(FILE_BYTES / (mean + 500))))
     (
         pages.select(record.alias("value"))
         .write.option("lineSep", "\r\n\r\n")
@@ -79,7 +85,8 @@ def _inflated(content: bytes) -> Iterator[bytes]:
             out = inflate.decompress(chunk, PIECE)
             while out:
                 yield out
-                out = inflate.decompress(inflate.unconsumed_tail, PIECE) if inflate.unconsumed_tail else b""
+                # after the end, the tail is already in unused_data
+                out = inflate.decompress(inflate.unconsumed_tail, PIECE) if inflate.unconsumed_tail and not inflate.eof else b""
         at -= len(inflate.unused_data)
         if tail := inflate.flush():
             yield tail
@@ -139,27 +146,32 @@ def normalise(spark: SparkSession, raw: str, out: str) -> None:
     """Rewrite the gzipped WARC files under ``raw`` as ``out/kind=data`` (a
     member per record) and ``out/kind=index`` (gzipped JSON lines ``id,
     offset, length, digest, payload_bytes``); files pair up by part name.
-    A task holds one compressed file and the record it is at."""
+    A task holds one compressed file, the record it is at and a few MB of
+    index lines."""
 
     def run(batches):
         seq = at = 0
         for batch in batches:
             for content in batch.column("content"):
-                lines, rows, held = [], [], 0
+                lines, rows, held, noted = [], [], 0, 0
                 for head, fields, block in _records(content.as_py()):
                     payload = payload_of(fields, block)
                     digest = sha1_base32(payload)
                     keep = [x for x in head.split(CRLF) if not x.lower().startswith(b"warc-payload-digest:")]
                     member = _member(CRLF.join([*keep, b"WARC-Payload-Digest: sha1:" + digest.encode()]) + b"\r\n\r\n" + block + b"\r\n\r\n")
                     row = member[:-1] if member[-1] == 0 else member
-                    lines.append({"id": fields.get("warc-record-id", ""), "offset": at, "length": len(member), "digest": digest, "payload_bytes": len(payload)})
+                    entry = {"id": fields.get("warc-record-id", ""), "offset": at, "length": len(member), "digest": digest, "payload_bytes": len(payload)}
+                    lines.append((json.dumps(entry, ensure_ascii=False) + "\n").encode())
+                    noted += len(lines[-1])
                     rows.append(("data", seq, row))
                     at, seq, held = at + len(row) + 1, seq + 1, held + len(row)
+                    if noted > INDEX_BYTES:
+                        rows.append(("index", seq, _member(b"".join(lines))[:-1]))
+                        lines, noted = [], 0
                     if held > 8 * PIECE:
                         yield _rows(rows)
                         rows, held = [], 0
-                text = "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in lines)
-                yield _rows([*rows, ("index", seq, _member(text.encode())[:-1])])
+                yield _rows([*rows, ("index", seq, _member(b"".join(lines))[:-1])])
 
     def _rows(rows):
         kind, seq, row = zip(*rows)

@@ -64,3 +64,45 @@ def test_records_over_several_files(spark, tmp_path):
     warc.normalise(spark, raw, out)
     got = warc.read_warc(spark, out).collect()
     assert sorted(len(r.payload) for r in got) == list(range(50))
+
+
+def test_index_of_several_members(spark, tmp_path, monkeypatch):
+    """Index lines go out a member every so many bytes; the file is plain gzip
+    and every line is there."""
+    monkeypatch.setattr(warc, "INDEX_BYTES", 5000)
+    df = spark.createDataFrame([(i, "u", f"page {i}", "") for i in range(3000)], SCHEMA).coalesce(1)
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    warc.write_warc(df, raw)
+    warc.normalise(spark, raw, out)
+    part = next(f for f in os.listdir(f"{out}/kind=index") if f.startswith("part"))
+    data = open(f"{out}/kind=index/{part}", "rb").read()
+    assert data.count(b"\x1f\x8b\x08") > 50 and gzip.decompress(data).count(b"\n") == 3000
+    index = warc.read_index(spark, out)
+    assert index.count() == 3000 and warc.read_warc(spark, out, index).count() == 3000
+
+
+def test_an_index_of_more_than_16_mib(spark, tmp_path, monkeypatch):
+    """Long ids: the lines of one file are more than a member's size field
+    holds without its last byte."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 40)
+    df = spark.range(9000).selectExpr("id AS page_id", "'u' AS url", "'x' AS html", "'' AS digest").coalesce(1)
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    long_ids = df.selectExpr("concat(page_id, repeat('i', 2000)) AS page_id", "url", "html")
+    warc.write_warc(long_ids, raw)
+    warc.normalise(spark, raw, out)
+    part = next(f for f in os.listdir(f"{out}/kind=index") if f.startswith("part"))
+    assert len(gzip.open(f"{out}/kind=index/{part}").read()) > 17 << 20
+    assert warc.read_index(spark, out).count() == 9000
+
+
+def test_members_that_inflate_to_several_pieces():
+    data = [bytes([65 + k]) * (3 * warc.PIECE + k) for k in range(4)]
+    packed = b"".join(warc._member(x) + b"\0" * k for k, x in enumerate(data))
+    assert b"".join(warc._inflated(packed)) == b"".join(data)
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
+    df = spark.createDataFrame([(i, "u", "x" * 9500, "") for i in range(30)], SCHEMA).coalesce(1)
+    warc.write_warc(df, str(tmp_path / "raw"))
+    assert len([f for f in os.listdir(tmp_path / "raw") if f.endswith(".gz")]) == 10
