@@ -9,9 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowtally import operators as ops
+from flowtally.operators.rollup_store import STORED
+from flowtally.session import unique_dir
 from flowtally.sources import load_table, load_tables
+from flowtally.sources.bucketed import write_bucketed
 from flowtally.sources.tables import table_path
 
 # Dashboard settings shared with the oracle SQL.
@@ -26,6 +30,12 @@ CAUSE_CATEGORY = "error"
 FOLLOWUP_MICROS = 3_600_000_000
 SESSION_GAP_MICROS = 1_800_000_000
 STREAM_CAUSE, STREAM_EFFECT = "click", "purchase"
+HEAVY_ONE_IN = 133
+FUNNEL_STEPS = ("view", "click", "purchase")
+FUNNEL_MICROS = 86_400_000_000
+CHANGE_BEFORE = ("2024-01-01 00:00:00", PERIOD_START)
+CHANGE_AFTER = (PERIOD_START, PERIOD_END)
+FLOW_BUCKETS = 16
 TOP_USERS = 10
 TOP_USERS_PER_CATEGORY = 3
 MOVING_DAYS = 7
@@ -50,6 +60,36 @@ def nation_flows(spark: SparkSession, d: str) -> DataFrame:
     return ops.nation_flows(t["lineitem"], t["orders"], t["customer"], t["supplier"], t["nation"])
 
 
+def bucketed_nation_flows(spark: SparkSession, d: str) -> DataFrame:
+    """``nation_flows`` over lines and orders that were written by order key."""
+    t = load_tables(spark, d, "lineitem", "orders", "customer", "supplier", "nation")
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        path = unique_dir(spark, f"bucketed-{name}")
+        table = f"flowtally_{path.rsplit('/', 1)[-1]}"
+        t[name] = write_bucketed(t[name], table, path, [key], FLOW_BUCKETS)
+        spark.sql(f"DROP TABLE {table}")  # the files stay, and the plan knows their buckets
+    return ops.nation_flows(t["lineitem"], t["orders"], t["customer"], t["supplier"], t["nation"])
+
+
+def weekly_distinct_users(spark: SparkSession, d: str) -> DataFrame:
+    path = unique_dir(spark, "user-sketches")
+    ops.store_user_sketches(_events(spark, d), path)
+    return ops.distinct_users(ops.stored_user_sketches(spark, path), "week")
+
+
+def incremental_hourly_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly totals made in two refreshes: the days before ``PERIOD_START``,
+    then the days after them, for which the first ones are not read again."""
+    source, path = unique_dir(spark, "events-by-day"), unique_dir(spark, "hourly")
+    dated = _events(spark, d).where("ts IS NOT NULL").withColumn("dt", F.to_date("ts").cast("string"))
+    early = F.col("ts") < F.lit(PERIOD_START).cast("timestamp_ntz")
+    for part in (early, ~early):
+        dated.where(part).repartition("dt").write.mode("append").partitionBy("dt").parquet(source)
+        ops.refresh_hourly_rollup(spark, source, path)
+    stored = ops.stored_rollup(spark, path)
+    return ops.hourly_totals(spark.createDataFrame([], STORED) if stored is None else stored)
+
+
 def streaming_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     from flowtally.streaming import run_daily_counts
 
@@ -103,4 +143,10 @@ QUERIES: dict[str, Query] = {
     "user_sessions": _on_events(lambda df: ops.user_sessions(df, SESSION_GAP_MICROS)),
     "streaming_sessions": streaming_sessions,
     "streaming_attribution": streaming_attribution,
+    "weekly_distinct_users": weekly_distinct_users,
+    "heavy_users": _on_events(lambda df: ops.heavy_hitters(df, "user_id", HEAVY_ONE_IN)),
+    "user_category_changes": _on_events(lambda df: ops.pair_changes(df, CHANGE_BEFORE, CHANGE_AFTER)),
+    "purchase_funnel": _on_events(lambda df: ops.ordered_funnel(df, FUNNEL_STEPS, FUNNEL_MICROS)),
+    "bucketed_nation_flows": bucketed_nation_flows,
+    "incremental_hourly_rollup": incremental_hourly_rollup,
 }

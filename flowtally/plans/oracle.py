@@ -5,7 +5,12 @@ from __future__ import annotations
 
 from flowtally.plans.catalog import (
     CAUSE_CATEGORY,
+    CHANGE_AFTER,
+    CHANGE_BEFORE,
     FOLLOWUP_MICROS,
+    FUNNEL_MICROS,
+    FUNNEL_STEPS,
+    HEAVY_ONE_IN,
     JSON_KEY,
     MARK_CATEGORY,
     MARKED_CATEGORY,
@@ -95,6 +100,28 @@ s AS (SELECT *, count_if(coalesce(brk, false)) OVER (PARTITION BY user_id ORDER
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events, {VOL} AS volume
 FROM s GROUP BY user_id, session"""
 
+
+def _funnel() -> str:
+    ctes = ["e AS (SELECT user_id, event_type, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"]
+    ctes.append(f"s1 AS (SELECT user_id, t AS t0, t FROM e WHERE event_type = '{FUNNEL_STEPS[0]}')")
+    for k, step in enumerate(FUNNEL_STEPS[1:], 2):
+        ctes.append(
+            f"s{k} AS (SELECT DISTINCT p.user_id, p.t0, e.t FROM s{k - 1} p JOIN e ON e.user_id = p.user_id"
+            f" AND e.event_type = '{step}' AND e.t > p.t AND e.t - p.t0 <= {FUNNEL_MICROS})"
+        )
+    counts = " UNION ALL ".join(
+        f"SELECT {k} AS step, '{step}' AS category, count(DISTINCT user_id) AS n_users FROM s{k}" for k, step in enumerate(FUNNEL_STEPS, 1)
+    )
+    return f"""
+WITH {", ".join(ctes)}, c AS ({counts})
+SELECT step, category, n_users, CAST(n_users AS DOUBLE) * 100.0 / CAST(nullif((SELECT n_users FROM c WHERE step = 1), 0) AS DOUBLE) AS pct_of_first
+FROM c"""
+
+
+def _pairs_in(period: tuple[str, str], sign: int) -> str:
+    return f"SELECT user_id, event_type, {sign} AS s FROM events WHERE ts >= TIMESTAMP '{period[0]}' AND ts < TIMESTAMP '{period[1]}'"
+
+
 ORACLE_SQL: dict[str, str] = {
     "kpi_totals": f"""
 SELECT count(*) AS n_events, {VOL} AS volume, count(DISTINCT user_id) AS n_users,
@@ -225,4 +252,18 @@ WHERE c.event_type = '{CAUSE_CATEGORY}'""",
 SELECT c.user_id, c.event_id AS cause_id, e.event_id AS effect_id, c.ts AS cause_ts, e.ts AS effect_ts
 FROM events c JOIN events e ON e.user_id = c.user_id AND e.ts >= c.ts AND epoch_us(e.ts) < epoch_us(c.ts) + {FOLLOWUP_MICROS}
 WHERE c.event_type = '{STREAM_CAUSE}' AND e.event_type = '{STREAM_EFFECT}'""",
+    "weekly_distinct_users": f"""
+SELECT {_period('week')} AS bucket_start, event_type, count(DISTINCT user_id) AS distinct_users
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
+    "heavy_users": f"""
+SELECT user_id, count(*) AS n_rows, CAST(count(*) AS DOUBLE) * 100.0 / CAST((SELECT count(user_id) FROM events) AS DOUBLE) AS share_pct
+FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) * {HEAVY_ONE_IN} > (SELECT count(user_id) FROM events)""",
+    "user_category_changes": f"""
+SELECT user_id, event_type, CAST(sum(s) AS BIGINT) AS n_added
+FROM ({_pairs_in(CHANGE_BEFORE, -1)} UNION ALL {_pairs_in(CHANGE_AFTER, 1)}) GROUP BY 1, 2 HAVING sum(s) <> 0""",
+    "purchase_funnel": _funnel(),
+    "incremental_hourly_rollup": f"""
+SELECT CAST(ts AS DATE) AS day, event_type, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n_events, {VOL} AS volume
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""",
 }
+ORACLE_SQL["bucketed_nation_flows"] = ORACLE_SQL["nation_flows"]

@@ -44,6 +44,6 @@ def test_random_tables_match_oracle(spark, seed, n):
     con = duck_connect(d, ["events"])
     sql = contract.oracle_sql()
     for name, fn in QUERIES.items():
-        if name == "nation_flows":
+        if name.endswith("nation_flows"):
             continue
         assert compare(fn(spark, d), con, sql[name]) == [], (name, seed, n)
