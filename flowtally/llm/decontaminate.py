@@ -14,7 +14,10 @@ step, so the skip loop is vectorised.
 
 Benchmark tables are searched in blocks: items are dealt by hash into blocks of
 about ``block_bytes`` of text; each block's tables travel with one narrow pass
-over all documents, which appends its hits.  Documents are never shuffled.
+over all documents, which appends its hits.  Between two blocks the documents
+and their hits are written, so the driver and a task hold the tables of one
+block at a time, however large the benchmark (an item is never split).
+Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import filter_by_text, text_pieces, texts
+from flowtally.llm.common import filter_by_text, text_pieces, texts, write_table
 
 LANE = 512
 # Every byte that is no word byte becomes a space; A-Z become a-z.
@@ -185,13 +188,16 @@ def benchmark_hits(
         "doc_id", "text", "0L AS n_words",
         "CAST(array() AS array<struct<start:bigint,end:bigint>>) AS spans", "CAST(array() AS array<string>) AS items",
     )
-    for searcher in _searchers(benchmark, window, block_bytes):
-        found = _search_block(found, searcher)
+    for k, searcher in enumerate(_searchers(benchmark, window, block_bytes)):
+        found = _search_block(write_table(found, "benchmark-hits") if k else found, searcher)
     return found.drop("text")
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Per row: word, hit and item counts, and whether any word is hit."""
+    """Per row: word, hit and item counts, and whether any word is hit.  Null
+    and empty texts have no words; rows with null or repeated ids are rows of
+    their own; no documents give no rows, an empty benchmark no hits; columns
+    that are not named are never read."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return benchmark_hits(docs, benchmark, window).select(
         "doc_id",
@@ -204,7 +210,8 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs``, unchanged, in which no word is hit."""
-    for searcher in _searchers(benchmark, window, block_bytes):
-        docs = filter_by_text(docs, lambda data, s=searcher: [not spans for spans, _ in s.hits([words_of(t) for t in data])])
+    """The rows of ``docs``, unchanged (all columns), in which no word is hit;
+    rows without a text stay."""
+    for k, searcher in enumerate(_searchers(benchmark, window, block_bytes)):
+        docs = filter_by_text(write_table(docs, "uncontaminated") if k else docs, lambda data, s=searcher: [not spans for spans, _ in s.hits([words_of(t) for t in data])])
     return docs

@@ -57,6 +57,21 @@ def test_decontamination_random(spark, make_docs, block_bytes):
     assert decontaminate.drop_contaminated(df, bench, block_bytes=block_bytes).count() == sum(not r[-1] for r in want)
 
 
+def test_one_benchmark_block_at_a_time(spark, make_docs):
+    """With many blocks, the plan of the last pass holds one block's tables:
+    it reads what the pass before has written, and is no larger for it."""
+    docs = make_docs([(i, f"word{i} a b c") for i in range(20)])
+    items = [(i, f"word{i} a") for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (decontaminate.benchmark_hits(docs, bench, block_bytes=n) for n in (1 << 20, 300))
+    steps = [d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for d in (one, many)]
+    assert steps == [1, 1]
+    assert rows(one) == rows(many)
+    kept = decontaminate.drop_contaminated(docs, bench.where("item_id > 4"), block_bytes=300)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+
+
 # --- licences
 
 
