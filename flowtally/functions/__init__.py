@@ -6,6 +6,7 @@ from flowtally.functions.columns import (
     cents,
     event_day,
     exact_sum,
+    finite,
     from_cents,
     iso_weekday,
     json_int,
@@ -20,6 +21,7 @@ __all__ = [
     "cents",
     "event_day",
     "exact_sum",
+    "finite",
     "from_cents",
     "iso_weekday",
     "json_int",

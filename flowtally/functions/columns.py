@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 GRAINS = ("day", "week", "month")
 
 # The value bands, as (order, label, lower bound inclusive,
-# upper bound exclusive).  Rows with a null value go to order 0, "unknown".
+# upper bound exclusive).  Rows with a null, NaN or infinite value go to order
+# 0, "unknown".
 VALUE_BANDS = (
     (1, "under_10", None, 10.0),
     (2, "10_to_50", 10.0, 50.0),
@@ -43,6 +44,12 @@ def cents(c: str | Column = "value", scale: int = 100) -> Column:
     return F.when(F.abs(x) < F.lit(float("inf")), rounded)  # NaN sorts above infinity
 
 
+def finite(c: str | Column = "value") -> Column:
+    """The value, or null for NaN and infinite ones: the rule for amounts that
+    ``cents`` follows too, for maxima and bands."""
+    return F.when(F.abs(_col(c)) < F.lit(float("inf")), _col(c))
+
+
 def from_cents(total: str | Column, scale: int = 100) -> Column:
     """A cents total as DOUBLE (nearest double to total / scale)."""
     return _col(total).cast("double") / F.lit(float(scale))
@@ -74,6 +81,13 @@ def iso_weekday(ts: str | Column = "ts") -> Column:
     return (F.weekday(_col(ts)) + 1).cast("int")
 
 
+# A JSON object of plain strings (no escapes), numbers and literals.
+_STRING = r'"[^"\\\x00-\x1f]*"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_MEMBER = rf"[ \t\r\n]*{_STRING}[ \t\r\n]*:[ \t\r\n]*(?:{_STRING}|{_NUMBER}|true|false|null)[ \t\r\n]*"
+FLAT_OBJECT = rf"^[ \t\r\n]*\{{{_MEMBER}(?:,{_MEMBER})*\}}[ \t\r\n]*\z"
+
+
 def json_int(c: str | Column, key: str) -> Column:
     """Integer under a top-level JSON key; null if the whole text is not one
     JSON value, the key is missing, or its value is not an integer token
@@ -81,13 +95,15 @@ def json_int(c: str | Column, key: str) -> Column:
     null).  The key is taken literally, dots included."""
     if "'" in key:
         raise ValueError("keys with a quote are not supported")
-    raw = F.get_json_object(_col(c), f"$['{key}']")
-    # The parser stops after the first value; only one whole value parses both
-    # as an array's element and as an object's member.
-    element = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"x":'), _col(c), F.lit("}")))
-    whole = element.isNotNull() & member.isNotNull()
-    return F.when(raw.rlike(r"^-?[0-9]+$") & whole, raw.try_cast("int"))
+    text = _col(c)
+    raw = F.get_json_object(text, f"$['{key}']")
+    # Most texts are flat objects, which one look settles.  The parser stops
+    # after the first value, so only one whole value parses both as an array's
+    # element and as an object's member.
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    whole = F.when(text.rlike(FLAT_OBJECT), F.lit(True)).otherwise(element.isNotNull() & member.isNotNull())
+    return F.when(raw.rlike(r"^-?[0-9]+$"), F.when(whole, raw.try_cast("int")))
 
 
 def _band_expr(c: Column, pick: int) -> Column:
@@ -104,8 +120,8 @@ def _band_expr(c: Column, pick: int) -> Column:
 
 
 def value_band(c: str | Column = "value") -> Column:
-    return _band_expr(_col(c), 1)
+    return _band_expr(finite(c), 1)
 
 
 def value_band_order(c: str | Column = "value") -> Column:
-    return _band_expr(_col(c), 0).cast("int")
+    return _band_expr(finite(c), 0).cast("int")

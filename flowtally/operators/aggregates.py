@@ -18,6 +18,7 @@ from flowtally.functions import (
     cents,
     event_day,
     exact_sum,
+    finite,
     from_cents,
     iso_weekday,
     json_int,
@@ -32,14 +33,14 @@ def _count() -> F.Column:
 
 
 def kpi_totals(df: DataFrame, ts: str = "ts", user: str = "user_id", value: str = "value") -> DataFrame:
-    """One row: events, exact volume, distinct actors, largest value, first
-    and last active day."""
+    """One row: events, exact volume, distinct actors, largest finite value,
+    first and last active day."""
     day = event_day(ts)
     return df.agg(
         _count(),
         exact_sum(value).alias("volume"),
         F.countDistinct(user).alias("n_users"),
-        F.max(value).alias("max_value"),
+        F.max(finite(value)).alias("max_value"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
     )

@@ -17,10 +17,14 @@ from pyspark.sql import SparkSession
 
 from flowtally.plans.catalog import QUERIES
 from flowtally.sources import write_result
+from flowtally.sources.tables import TABLE_SCHEMAS, check_tables, table_exists
 
 
 def publish(spark: SparkSession, table_dir: str, out_dir: str, names: Iterable[str] | None = None) -> list[str]:
-    """Write the named queries (all by default); returns the written paths."""
+    """Write the named queries (all by default); returns the written paths.
+    Tables that are there but differ from their declared schema are refused."""
+    there = [t for t in TABLE_SCHEMAS if table_exists(spark, table_dir, t)]
+    check_tables(spark, table_dir, *there)
     written = []
     for name in names or QUERIES:
         path = f"{out_dir.rstrip('/')}/{name}"

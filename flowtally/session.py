@@ -102,3 +102,13 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
 def unique_dir(spark: SparkSession, kind: str) -> str:
     """A not-yet-used folder under the shared directory."""
     return shared_dir(spark, "flowtally", kind, uuid.uuid4().hex)
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete the tables that queries of this library have written under the
+    shared folder (``unique_dir``) and have no use for once their results are
+    stored elsewhere.  For jobs that run many queries in one folder; call it
+    when no result of theirs, and no stream, is still to be read or continued.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "flowtally"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,8 +32,8 @@ TABLES = (
 
 # The input schemas (column names and types of the driver's
 # tables).  Reading with a declared schema skips Spark's schema-inference job
-# (one per load) and fails early if a table drifts from it; columns missing
-# from a file read as null.
+# (one per load).  A column that a file lacks, or has under another name, then
+# reads as null; ``check_tables`` finds that (the publish job calls it once).
 TABLE_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -57,6 +57,11 @@ def table_path(base_dir: str, name: str) -> str:
     return os.path.join(base_dir, f"{name}.parquet")
 
 
+def table_exists(spark: SparkSession, base_dir: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(base_dir, name))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def load_table(spark: SparkSession, base_dir: str, name: str, infer_schema: bool = False) -> DataFrame:
     """Lazy DataFrame over ``<base_dir>/<name>.parquet`` (file or folder),
     read with the declared schema when the table has one."""
@@ -70,6 +75,17 @@ def load_tables(spark: SparkSession, base_dir: str, *names: str) -> dict[str, Da
     return {name: load_table(spark, base_dir, name) for name in names}
 
 
+def check_tables(spark: SparkSession, base_dir: str, *names: str) -> None:
+    """Raises if a table's files do not have the declared columns (in any
+    order, more are allowed) with the declared types: reads file footers."""
+    for name in names:
+        declared = spark.createDataFrame([], TABLE_SCHEMAS[name]).schema
+        found = {f.name: f.dataType for f in spark.read.parquet(table_path(base_dir, name)).schema}
+        wrong = [f"{f.name} {f.dataType.simpleString()}" for f in declared if found.get(f.name) != f.dataType]
+        if wrong:
+            raise ValueError(f"table {name} lacks {', '.join(wrong)}; it has {', '.join(found)}")
+
+
 def register_views(spark: SparkSession, base_dir: str, *names: str) -> None:
     """Register tables as temp views so ``spark.sql`` can name them."""
     for name in names or TABLES:

@@ -6,12 +6,14 @@ import datetime as dt
 import os
 from decimal import ROUND_HALF_UP, Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from flowtally.functions import cents, exact_sum, iso_weekday, json_int, period_start, value_band
 from flowtally.session import unique_dir
 from flowtally.sources import write_result
+from tests.conftest import SF0001
 
 MONEY = st.decimals(min_value=Decimal("-1e9"), max_value=Decimal("1e9"), places=2, allow_nan=False, allow_infinity=False)
 
@@ -157,3 +159,53 @@ def test_pivot_columns_add_up(spark):
     rows = [("2024-01-01 01:00:00", c) for c in ("a", "a", "x", None, "b")]
     df = spark.createDataFrame(rows, "t string, event_type string").selectExpr("CAST(t AS TIMESTAMP_NTZ) ts", "event_type")
     assert ops.category_pivot(df, ["a", "b"]).select("n_a", "n_b", "n_other").first() == (2, 1, 2)
+
+
+def test_json_int_flat_objects_and_others(spark):
+    """Texts that one look settles, and texts that have to be parsed."""
+    from flowtally.functions import json_int
+
+    cases = {
+        '{"k": 1}': 1, ' { "a" : "x y" , "k":-7 , "b": null}\n': -7, '{"k": 2, "n": 1.5e-3, "t": true}': 2, '{"k": 3, "a": [1, {"b": 2}]}': 3,
+        '{"a": "q\\"uote", "k": 4}': 4, '{"k": 5} {"k": 6}': None, '{"k": 007}': None, '{"k": 8,}': None, '{"k": 9': None, '{"a": "tab\there", "k": 1}': None,
+        '{"k": "10"}': 10, '{"k": 1.0}': None, '{"k": 99999999999}': None, "{}": None, "": None, None: None, '{"é": 1, "k": 11}': 11, '{"k": 12}]': None,
+    }
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    assert {r.p: r.v for r in df.select("p", json_int("p", "k").alias("v")).collect()} == cases
+
+
+def test_amounts_that_are_not_finite(spark):
+    """They count as rows, and are no volume, no maximum and in no band."""
+    from flowtally import operators as ops
+
+    values = [1.0, 20.0, None, float("nan"), float("inf"), -float("inf")]
+    df = spark.createDataFrame([(v, 1, "a") for v in values], "value double, user_id long, event_type string").selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts")
+    r = ops.kpi_totals(df).first()
+    assert (r.n_events, r.volume, r.max_value) == (6, 21.0, 20.0)
+    assert {(r.band, r.n_events, r.volume) for r in ops.value_bands(df).collect()} == {("under_10", 1, 1.0), ("10_to_50", 1, 20.0), ("unknown", 4, None)}
+
+
+def test_schema_drift_is_found(spark, tmp_path):
+    from flowtally.plans.publish import publish
+    from flowtally.sources import check_tables
+
+    good = spark.read.parquet(f"{SF0001}/nation.parquet")
+    good.withColumn("more", good.n_name).write.parquet(str(tmp_path / "a" / "nation.parquet"))
+    check_tables(spark, str(tmp_path / "a"), "nation")
+    good.withColumnRenamed("n_name", "name").write.parquet(str(tmp_path / "b" / "nation.parquet"))
+    with pytest.raises(ValueError, match="nation lacks n_name string"):
+        check_tables(spark, str(tmp_path / "b"), "nation")
+    with pytest.raises(ValueError, match="nation lacks"):
+        publish(spark, str(tmp_path / "b"), str(tmp_path / "out"), ["kpi_totals"])
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from flowtally.session import clear_intermediate, shared_dir, unique_dir
+
+    spark.range(3).write.parquet(unique_dir(spark, "test-clear"))
+    assert os.listdir(shared_dir(spark, "flowtally", "test-clear"))
+    clear_intermediate(spark)
+    assert not os.path.exists(shared_dir(spark, "flowtally"))
+    clear_intermediate(spark)  # nothing is there
