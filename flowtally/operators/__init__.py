@@ -13,7 +13,7 @@ from flowtally.operators.aggregates import (
 )
 from flowtally.operators.asof import asof_join, last_before
 from flowtally.operators.changes import pair_changes, rows_added, rows_removed, table_changes
-from flowtally.operators.flows import line_revenue_units, nation_flows
+from flowtally.operators.flows import line_partitions, line_revenue_units, nation_flows
 from flowtally.operators.funnel import ordered_funnel
 from flowtally.operators.heavy import heavy_hitters
 from flowtally.operators.intervals import followups, interval_join, overlap_join
@@ -64,6 +64,7 @@ __all__ = [
     "json_key_counts",
     "kpi_totals",
     "last_before",
+    "line_partitions",
     "line_revenue_units",
     "merge_sketches",
     "moving_average",

@@ -15,6 +15,10 @@ Scale notes:
   shuffle.  The per-order aggregation after the join with orders groups by
   the order key (plus columns that depend on it), so it reuses the join's
   partitioning and adds no shuffle.
+* Lines and orders meet in ``line_partitions`` tasks of some ``LINES_PER_TASK``
+  lines each: the two sorts of the join and the two hash maps of the per-order
+  step stand in one task, whose memory so stays the same however large the
+  tables are.  (Left to AQE, few large partitions would be made of them.)
 * No side is forced into a broadcast.  ``nation`` (25 rows by definition of
   the schema) and, while small, ``supplier`` and ``customer`` fall under
   ``spark.sql.autoBroadcastJoinThreshold``, which checks their size first;
@@ -45,6 +49,7 @@ from flowtally.functions import cents
 
 REVENUE_SCALE = 10_000
 _SPLIT = 1_000_000
+LINES_PER_TASK = 500_000
 
 
 def line_revenue_units() -> F.Column:
@@ -53,15 +58,23 @@ def line_revenue_units() -> F.Column:
     return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
 
 
+def line_partitions(lineitem: DataFrame) -> int:
+    """Partitions by order key of about ``LINES_PER_TASK`` line items, one per
+    core at least.  Counts the rows (from the footers of a Parquet table)."""
+    return max(lineitem.sparkSession.sparkContext.defaultParallelism, -(-lineitem.count() // LINES_PER_TASK))
+
+
 def nation_flows(
     lineitem: DataFrame,
     orders: DataFrame,
     customer: DataFrame,
     supplier: DataFrame,
     nation: DataFrame,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Per (source nation, destination nation): line items, distinct orders,
-    distinct customers and exact revenue."""
+    distinct customers and exact revenue.  ``bucketed`` lines and orders lie by
+    order key already (``write_bucketed``) and are not dealt anew."""
     supp = supplier.select("s_suppkey", F.col("s_nationkey").alias("dst_key"))
     # Revenue units are computed before the first join, so a shuffled line
     # carries three longs instead of two keys and two doubles.
@@ -71,6 +84,9 @@ def nation_flows(
     order_src = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_custkey", "src_key"
     )
+    if not bucketed:
+        parts = line_partitions(lineitem)
+        lines, order_src = lines.repartition(parts, "l_orderkey"), order_src.repartition(parts, "o_orderkey")
     per_order = (
         lines.join(order_src, lines.l_orderkey == order_src.o_orderkey)
         .groupBy("l_orderkey", "src_key", "dst_key", "o_custkey")

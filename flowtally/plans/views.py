@@ -18,8 +18,9 @@ def register_query_views(
     """Create a temp view per query, so dashboards can
     ``spark.sql("SELECT ... FROM nation_flows ...")`` and Catalyst optimizes
     the view together with the outer query.  Nothing runs until a view is read,
-    but for two queries that run a job when they are set up: the ranks of
-    ``value_quantiles`` and the interval lengths of ``error_followups``."""
+    but for three queries that run a job when they are set up: the ranks of
+    ``value_quantiles``, the interval lengths of ``error_followups`` and the
+    number of lines of ``nation_flows``."""
     chosen = list(names) if names is not None else [n for n in QUERIES if n not in STREAMING]
     for name in chosen:
         QUERIES[name](spark, table_dir).createOrReplaceTempView(name)

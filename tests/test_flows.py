@@ -1,0 +1,46 @@
+"""Tasks of the flow queries hold a bounded number of line items."""
+
+from __future__ import annotations
+
+import contextlib
+import io
+import re
+import tempfile
+
+import pytest
+
+import __spark_entry__ as contract
+from flowtally.operators import flows
+from flowtally.sources import load_table
+from tests.fixtures import write_skewed_flow_tables
+from tests.oracle_check import compare, duck_connect
+
+
+@pytest.fixture(scope="module")
+def flow_dir():
+    d = tempfile.mkdtemp(prefix="flowtally-flows-")
+    write_skewed_flow_tables(d)
+    return d
+
+
+def _plan(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def _matches_oracle(df, d, name):
+    con = duck_connect(d, ["nation", "customer", "supplier", "orders", "lineitem"])
+    return compare(df, con, contract.oracle_sql()[name]) == []
+
+
+def test_partitions_by_order_key_follow_the_lines(spark, flow_dir, monkeypatch):
+    lines = load_table(spark, flow_dir, "lineitem").count()
+    monkeypatch.setattr(flows, "LINES_PER_TASK", 50)
+    parts = -(-lines // 50)
+    assert parts > spark.sparkContext.defaultParallelism
+    df = contract.queries()["nation_flows"](spark, flow_dir)
+    dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", _plan(df))
+    assert sorted(dealt) == [("l_orderkey", str(parts)), ("o_orderkey", str(parts))]
+    assert _matches_oracle(df, flow_dir, "nation_flows")
