@@ -35,7 +35,7 @@ FUNNEL_STEPS = ("view", "click", "purchase")
 FUNNEL_MICROS = 86_400_000_000
 CHANGE_BEFORE = ("2024-01-01 00:00:00", PERIOD_START)
 CHANGE_AFTER = (PERIOD_START, PERIOD_END)
-FLOW_BUCKETS = 16
+FLOW_BUCKETS = 16  # at least
 TOP_USERS = 10
 TOP_USERS_PER_CATEGORY = 3
 MOVING_DAYS = 7
@@ -61,14 +61,16 @@ def nation_flows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bucketed_nation_flows(spark: SparkSession, d: str) -> DataFrame:
-    """``nation_flows`` over lines and orders that were written by order key."""
+    """``nation_flows`` over lines and orders that were written by order key,
+    in buckets that hold about as many lines however large the tables are."""
     t = load_tables(spark, d, "lineitem", "orders", "customer", "supplier", "nation")
+    buckets = max(FLOW_BUCKETS, ops.line_partitions(t["lineitem"]))
     for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
         path = unique_dir(spark, f"bucketed-{name}")
         table = f"flowtally_{path.rsplit('/', 1)[-1]}"
-        t[name] = write_bucketed(t[name], table, path, [key], FLOW_BUCKETS)
+        t[name] = write_bucketed(t[name], table, path, [key], buckets)
         spark.sql(f"DROP TABLE {table}")  # the files stay, and the plan knows their buckets
-    return ops.nation_flows(t["lineitem"], t["orders"], t["customer"], t["supplier"], t["nation"])
+    return ops.nation_flows(t["lineitem"], t["orders"], t["customer"], t["supplier"], t["nation"], bucketed=True)
 
 
 def weekly_distinct_users(spark: SparkSession, d: str) -> DataFrame:

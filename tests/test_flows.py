@@ -44,3 +44,15 @@ def test_partitions_by_order_key_follow_the_lines(spark, flow_dir, monkeypatch):
     dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", _plan(df))
     assert sorted(dealt) == [("l_orderkey", str(parts)), ("o_orderkey", str(parts))]
     assert _matches_oracle(df, flow_dir, "nation_flows")
+
+
+def test_buckets_follow_the_lines(spark, flow_dir, monkeypatch):
+    lines = load_table(spark, flow_dir, "lineitem").count()
+    monkeypatch.setattr(flows, "LINES_PER_TASK", 50)
+    buckets = -(-lines // 50)
+    assert buckets > 16
+    df = contract.queries()["bucketed_nation_flows"](spark, flow_dir)
+    plan = _plan(df)
+    assert set(re.findall(r"SelectedBucketsCount: (\d+) out of (\d+)", plan)) <= {(str(buckets), str(buckets))}
+    assert "REPARTITION_BY_NUM" not in plan and f"out of {buckets}" in plan
+    assert _matches_oracle(df, flow_dir, "bucketed_nation_flows")
