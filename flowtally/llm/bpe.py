@@ -114,6 +114,7 @@ class _Bucket:
         a digest of the texts: should a lost task's documents come in another
         order the second time, its words and numbers could not be mixed up."""
         numbers = np.concatenate([np.zeros(0, np.uint32), *self.numbers])
+        self.numbers.clear()
         # Frequent words get the small numbers.
         by_count = np.argsort(-np.bincount(numbers, minlength=len(self.index)), kind="stable")
         rank = np.empty(len(by_count), np.uint32)
@@ -192,8 +193,8 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
     def join(bucket: pa.Table, replies: pa.Table) -> pa.Table:
         token = {i: b for b, i in ranks.value.items()}  # the token-byte table
         end = max(token, default=0) + 1
-        held = bucket.filter(pc.equal(bucket.column("part"), NUMBERS)).to_pylist()[0]
-        of = np.array(held["of"], np.int32)
+        held = bucket.filter(pc.equal(bucket.column("part"), NUMBERS))
+        of = held["of"][0].values.to_numpy()
         ids: list = [None] * len(of)
         # A part's replies are in the order of the numbers of its words.
         order = np.argsort(of, kind="stable")
@@ -205,9 +206,9 @@ def _reassembled(docs: DataFrame, ranks_path: str, pattern: str, bucket_bytes: i
             for i, stop in zip(order[at[part] : at[part] + len(ends)].tolist(), ends.tolist()):
                 ids[i], begin = flat[begin:stop], stop + 1
         raw = [token[x[0]] if len(x) == 1 else b"".join([token[i] for i in x]) for x in ids]
-        one, numbers = row(ids, raw), _numbers(held["blob"])
-        out = [one(x) for x in np.split(numbers, np.cumsum(held["sizes"])[:-1])]
-        columns = [held["ids"], *zip(*out)]
+        one, numbers = row(ids, raw), _numbers(held["blob"][0].as_buffer())
+        out = [one(x) for x in np.split(numbers, np.cumsum(held["sizes"][0].as_py())[:-1])]
+        columns = [held["ids"][0].as_py(), *zip(*out)]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return split.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(join, schema)

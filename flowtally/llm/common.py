@@ -78,10 +78,11 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
 
 def filter_by_text(docs: DataFrame, keep: Callable[[list[bytes | None]], list[bool]], text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns unchanged, for whose texts ``keep`` says
-    so; a narrow pass, nothing is shuffled."""
+    so; a narrow pass, nothing is shuffled.  ``keep`` gets about 1 MB of text
+    at once, since its arrays can be 50 times as large."""
 
     def run(batches):
-        for b in text_pieces(batches, text_col=text_col):
+        for b in text_pieces(batches, 1 << 20, text_col):
             mask = keep(b.column(text_col).cast(pa.binary()).to_pylist())
             yield b.filter(pa.array(mask, pa.bool_()))
 

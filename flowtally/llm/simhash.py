@@ -27,11 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.common import checkpoint, free_names, texts
+from flowtally.llm.common import checkpoint, free_names, text_pieces, texts
 from flowtally.llm.components import connected_components
 
 MAX_BITS = 4  # what the three segments are proven for
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
+KEYED_AT_ONCE = 2000  # fingerprints; each has some 65 keys
 
 # Fixed value: generator polynomial of the binary (23,12) Golay code.
 GOLAY_GENERATOR = 0b110001110101
@@ -107,7 +108,7 @@ def simhash_fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str =
     have fingerprint zero; a text shorter than a shingle is one shingle."""
 
     def run(batches):
-        for b in batches:
+        for b in text_pieces(batches, 1 << 20):
             fps = [_fingerprint(t, shingle_words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -119,7 +120,7 @@ def _keyed(fps: DataFrame, left: bool) -> DataFrame:
 
     def run(batches):
         golay = GolayKeys()
-        for b in batches:
+        for b in (b.slice(at, KEYED_AT_ONCE) for b in batches for at in range(0, b.num_rows, KEYED_AT_ONCE)):
             fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             word = fp.view(np.uint64)
             seg = [(word >> np.uint64(at) & np.uint64((1 << w) - 1)).astype(np.int64) for at, w in SEGMENTS]
@@ -196,7 +197,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int
     only where rows repeat it."""
 
     def run(batches):
-        for b in batches:
+        for b in text_pieces(batches, 1 << 20):
             fps = [_fingerprint(t, shingle_words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 

@@ -9,6 +9,7 @@ import random
 import numpy as np
 
 from flowtally.llm import toxicity
+from flowtally.llm.common import filter_by_text
 from tests.llm.conftest import EDGE_TEXTS
 
 
@@ -101,3 +102,13 @@ def test_odd_documents(spark, make_docs):
     assert {r.score for r in toxicity.toxicity(frame, labels.limit(0)).collect()} == {0.0}
     kept = toxicity.drop_toxic(frame, toxicity.fit_toxicity(frame, labels))
     assert kept.columns == frame.columns and kept.count() == sum(not r.predicted for r in got)
+
+
+def test_filter_by_text_hands_over_a_megabyte_at_once(spark):
+    docs = spark.range(2500, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab cd ef gh ', 100) AS text")
+
+    def keep(data):
+        assert sum(map(len, data)) <= 1 << 20
+        return [True] * len(data)
+
+    assert filter_by_text(docs, keep).count() == 2500
